@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import mixing
+from canopyspark.llm import langid, mixing
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op6_mixing": mixing.op6_mixing,
 }
 
