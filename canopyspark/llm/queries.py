@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, langid, mixing
+from canopyspark.llm import bpe, langid, mixing, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op6_mixing": mixing.op6_mixing,
+    "op7_tokenfile": tokenfile.op7_tokenfile,
     "op10_bpe": bpe.op10_bpe,
 }
 
