@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, langid, mixing, tokenfile
+from canopyspark.llm import bpe, langid, mixing, mtree, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_mtree": mtree.op2_mtree,
     "op6_mixing": mixing.op6_mixing,
     "op7_tokenfile": tokenfile.op7_tokenfile,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op2_mtree": mtree.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
