@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, langid, mixing, mtree, tokenfile
+from canopyspark.llm import bpe, langid, mixing, mtree, quality, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mtree": mtree.op2_mtree,
     "op6_mixing": mixing.op6_mixing,
     "op7_tokenfile": tokenfile.op7_tokenfile,
+    "op8_quality": quality.op8_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 
