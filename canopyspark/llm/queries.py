@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, langid, mixing, mtree, quality, tokenfile
+from canopyspark.llm import bpe, jaccard, langid, mixing, mtree, quality, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mtree": mtree.op2_mtree,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_mixing": mixing.op6_mixing,
     "op7_tokenfile": tokenfile.op7_tokenfile,
     "op8_quality": quality.op8_quality,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_mtree": mtree.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
