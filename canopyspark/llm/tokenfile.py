@@ -32,6 +32,7 @@ from canopyspark.llm.common import shared_dir, table
 MAGIC = b"TOKSEG01"
 END_ID = 0
 BLOCK = 1024
+LIBRARY_WORDS = 4096
 #: Ids per word by selector; 60 // n bits each. Selector 15 is the escape.
 PER_WORD = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 ESCAPE = 15
@@ -139,9 +140,13 @@ def library_encoder(path: str) -> Encoder:
     specials = [t.content for t in library.get_added_tokens_decoder().values()]
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
-        counts = np.array([len(i) for i in found], np.int64)
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(counts.sum())), counts
+        flat, counts = [], []
+        for at in range(0, len(words), LIBRARY_WORDS):  # the library's results hold far more than ids
+            some = words[at : at + LIBRARY_WORDS]
+            found = library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(found.ids, np.int64))
+            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(flat), np.concatenate(counts)
 
     return Encoder(encode_words, specials)
 
