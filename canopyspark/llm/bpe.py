@@ -16,10 +16,13 @@ and rows with a null doc_id are encoded one by one.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -169,6 +172,18 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(shift, length)]
 
 
+class _Numbers(dict):
+    """Numbers words as they come; new: the words numbered since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordCache:
     """Ids by word. encode_words(words) gives flat ids and counts for unseen words."""
 
@@ -177,53 +192,62 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.start = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
 
     def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a list of texts given as words, and the number of ids of each text."""
-        if len(self.index) > MAX_CACHED_WORDS:
+        if len(self.numbers) > MAX_CACHED_WORDS:
             self.clear()
-        index = self.index
-        unseen: dict[str, int] = {}
-        known = len(index)
-        for text in words:
-            for w in text:
-                if w not in index:
-                    index[w] = known
-                    unseen[w] = known
-                    known += 1
-        if unseen:
-            flat, counts = self.encode_words(list(unseen))
+        per_text = np.array([len(t) for t in words], np.int64)
+        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
+        if unseen := self.numbers.new:
+            self.numbers.new = []
+            flat, counts = self.encode_words(unseen)
             starts = len(self.flat) + np.cumsum(counts) - counts
             self.start = np.concatenate([self.start, starts])
             self.count = np.concatenate([self.count, counts])
             self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        per_text = np.array([len(t) for t in words], np.int64)
-        number = np.fromiter((index[w] for t in words for w in t), np.int64, int(per_text.sum()))
         counts = self.count[number]
         upto = np.concatenate([[0], np.cumsum(counts)])
         ends = np.cumsum(per_text)
         return gather(self.flat, self.start[number], counts), upto[ends] - upto[ends - per_text]
 
 
+@functools.cache
+def _unlike() -> re.Pattern:
+    """Characters that re's letter, digit and space classes put elsewhere than the tokenizer's properties."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    classes = ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\p{White_Space}"))
+    found = set().union(*(set(re.findall(own, every)) ^ set(regex.findall(exact, every)) for own, exact in classes))
+    return re.compile("[" + "".join(re.escape(c) for c in sorted(found)) + "]")
+
+
+#: SPLIT in the terms of re, which is twice as fast; for texts without _unlike characters.
+QUICK_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
 class Encoder:
     """Texts to ids. words: list of words to (flat ids, counts); specials: their strings."""
 
     def __init__(self, encode_words, specials):
         self.cache = WordCache(encode_words)
-        self.plain = regex.compile(SPLIT)
+        self.exact = regex.compile(SPLIT)
+        self.unlike = _unlike()
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
         self.starts = tuple(specials)
 
+    def plain(self, text: str) -> list[str]:
+        return (self.exact if self.unlike.search(text) else QUICK_SPLIT).findall(text)
+
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
         if self.special is None or not any(s in text for s in self.starts):
-            return self.plain.findall(text)
-        return [w for part in self.special.split(text) for w in ([part] if part in self.starts else self.plain.findall(part))]
+            return self.plain(text)
+        return [w for part in self.special.split(text) for w in ([part] if part in self.starts else self.plain(part))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return self.cache.ids([self.words(t) for t in texts])

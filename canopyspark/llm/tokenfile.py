@@ -45,16 +45,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))  # ids from here to the block's end
+    at = np.arange(n)
+    left = np.minimum(BLOCK - at % BLOCK, n - at)  # ids from here to the block's end
     best = np.full(n, ESCAPE, np.int64)
     for selector in range(len(PER_WORD) - 1, -1, -1):
         count = int(PER_WORD[selector])
-        small = ids < (np.uint64(1) << np.uint64(60 // count))
-        if count > 1:
-            upto = np.concatenate([[0], np.cumsum(~small)])
-            ends = np.minimum(np.arange(n) + count, n)
-            small = (upto[ends] == upto[:n]) & (left >= count)
-        best[small] = selector
+        small = np.flatnonzero(ids < (np.uint64(1) << np.uint64(60 // count)))
+        runs_on = small[: len(small) - count + 1] if len(small) >= count else small[:0]
+        runs_on = runs_on[small[count - 1 :][: len(runs_on)] - runs_on == count - 1]
+        best[runs_on[left[runs_on] >= count]] = selector
     step = np.append(PER_WORD, [0, 1])[best]
     blocks = -(-n // BLOCK)
     at = np.arange(blocks) * BLOCK
