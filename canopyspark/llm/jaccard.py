@@ -43,7 +43,7 @@ CHUNK_CHARS = 4 << 20
 CHUNK_DOCS = 1 << 16
 FRAGMENT_GRAMS = 2 << 20
 PARTIAL_FRAGMENTS = 4
-HUBS = 16
+HUBS = 256
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _R = 0x9E3779B97F4A7C15
 _R_INVERSE = pow(_R, -1, 1 << 64)
