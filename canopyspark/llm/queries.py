@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, quality, tokenfile
+from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, quality, suffixdedup, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mtree": mtree.op2_mtree,
+    "op3_suffixdedup": suffixdedup.op3_suffixdedup,
     "op4_linededup": linededup.op4_linededup,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_mixing": mixing.op6_mixing,
