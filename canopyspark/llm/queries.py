@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, quality, suffixdedup, tokenfile
+from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, passages, quality, suffixdedup, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_tokenfile": tokenfile.op7_tokenfile,
     "op8_quality": quality.op8_quality,
+    "op9_passages": passages.op9_passages,
     "op10_bpe": bpe.op10_bpe,
 }
 
