@@ -35,6 +35,7 @@ MAX_RUN = 4096
 CHUNK_BYTES = 1 << 20
 HOT_BYTES = 1 << 21
 TIE_SHIFT = 40
+BATCH_ROWS = 20_000
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -76,8 +77,12 @@ def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[start].view(np.int64), start, size
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffixes of text (uint8, 0 ends each string) in the order of their first WINDOW bytes."""
+def suffix_order(text: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of text (uint8, 0 ends each string) in the order of their first WINDOW bytes.
+
+    With starts (flags), only those suffixes and what inducing them needs: the suffixes that follow
+    one of them up to the next that is sorted directly.
+    """
     n = len(text)
     after = np.append(text[1:], 0)
     # a suffix is smaller than its successor if its first byte that differs from the next one is smaller
@@ -87,9 +92,17 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     known = decides < n
     smaller[known] = text[decides[known]] < after[decides[known]]
     smaller[text == 0] = True
+    needed = np.ones(n, bool)
+    if starts is not None:
+        next_direct = np.minimum.accumulate(np.where(smaller, np.arange(n), n)[::-1])[::-1]
+        begin, stop = _runs(starts)
+        reach = np.zeros(n + 1, np.int32)
+        reach[begin] += 1
+        reach[next_direct[stop - 1] + 1] -= 1
+        needed = np.cumsum(reach[:n]) > 0
     padded = np.concatenate([text, np.zeros(WINDOW, np.uint8)])
     heads = np.ndarray((n,), f"S{WINDOW}", padded.data, strides=(1,))
-    direct = np.flatnonzero(smaller & (text > 0))
+    direct = np.flatnonzero(smaller & needed & (text > 0))
     direct = direct[np.argsort(heads[direct], kind="stable")]
     first = text[direct]
     bounds = np.searchsorted(first, np.arange(257))
@@ -98,7 +111,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     def hand_down(bucket: np.ndarray, value: int) -> None:
         """Put the larger predecessors of a sorted bucket into the buckets they belong to, in order."""
         before = bucket[bucket > 0] - 1
-        before = before[~smaller[before] & (text[before] > value)]
+        before = before[~smaller[before] & needed[before] & (text[before] > value)]
         if not len(before):
             return
         before = before[np.argsort(text[before], kind="stable")]
@@ -106,7 +119,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         for k, part in zip(kinds.tolist(), np.split(before, at[1:]), strict=True):
             waiting.setdefault(k, []).append(part)
 
-    ends = np.flatnonzero(text == 0)
+    ends = np.flatnonzero(needed & (text == 0))
     out = [ends]
     hand_down(ends, 0)
     for value in range(1, 256):
@@ -115,7 +128,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         found = [frontier]
         while len(frontier):  # runs of one byte: each round goes one byte further to the left
             before = frontier[frontier > 0] - 1
-            frontier = before[~smaller[before] & (text[before] == value)]
+            frontier = before[~smaller[before] & needed[before] & (text[before] == value)]
             found.append(frontier)
         bucket = np.concatenate([*found, direct[bounds[value] : bounds[value + 1]]])
         if len(bucket):
@@ -143,7 +156,7 @@ def later_windows(strings: list[bytes], doc_ids: np.ndarray, places: np.ndarray)
     owner = np.repeat(np.arange(len(strings)), lengths + 1)
     offset = np.arange(len(text)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
     starts = offset <= (lengths - WINDOW)[owner]
-    order = suffix_order(text)
+    order = suffix_order(text, starts)
     order = order[starts[order]]
     group = np.cumsum(common_prefixes(text, order) < WINDOW)
     doc, place = doc_ids[owner[order]], places[owner[order]] + offset[order]
@@ -160,39 +173,51 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(parts: list) -> pa.RecordBatch:
+        key, ctx, doc, place, n = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "ctx": pa.array(ctx), "doc_id": pa.array(doc), "place": pa.array(place), "n": pa.array(n)})
+
     for batch in batches:
+        parts, held = [], 0
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             data = text.encode()
             key, start, size = contexts(data)
-            if not len(key):
-                continue
             stop = start + size + WINDOW - 1
-            ctx = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(key, pa.int64()),
-                "ctx": pa.array(np.array(ctx, np.uint64).view(np.int64)),
-                "doc_id": pa.array(np.full(len(key), doc, np.int64)),
-                "place": pa.array(start + tie_of(data), pa.int64()),
-                "n": pa.array(size.astype(np.int32)),
-            })
+            ctx = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
+            parts.append((key, ctx.view(np.int64), np.full(len(key), doc, np.int64), start + tie_of(data), size.astype(np.int32)))
+            held += len(key)
+            if held >= BATCH_ROWS:
+                yield rows(parts)
+                parts, held = [], 0
+        if held:
+            yield rows(parts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each document."""
+
+    def rows(parts: list, pieces: list[bytes]) -> pa.RecordBatch:
+        key, doc, place, hot = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "doc_id": pa.array(doc), "place": pa.array(place), "hot": pa.array(hot), "data": pa.array(pieces, pa.binary())})
+
     for batch in batches:
-        for row in batch.to_pylist():
-            data = row["text"].encode()
+        ends = batch["wanted"].offsets.to_numpy()
+        key, place, n, hot = (c.to_numpy(zero_copy_only=False) for c in batch["wanted"].values.flatten())
+        parts, pieces = [], []
+        for i, (doc, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
+            data = text.encode()
             tie = tie_of(data)
-            mine = [w for w in row["wanted"] if w["place"] >> TIE_SHIFT == tie >> TIE_SHIFT]
-            for a in range(0, len(mine), 4096):
-                some = mine[a : a + 4096]
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([w["key"] for w in some], pa.int64()),
-                    "doc_id": pa.array([row["doc_id"]] * len(some), pa.int64()),
-                    "place": pa.array([w["place"] for w in some], pa.int64()),
-                    "hot": pa.array([w["hot"] for w in some], pa.bool_()),
-                    "data": pa.array([data[w["place"] - tie : w["place"] - tie + w["n"] + WINDOW - 1] for w in some], pa.binary()),
-                })
+            mine = np.arange(ends[i], ends[i + 1])
+            mine = mine[place[mine] >> TIE_SHIFT == tie >> TIE_SHIFT]
+            for at in np.split(mine, np.arange(BATCH_ROWS, len(mine), BATCH_ROWS)):
+                start = place[at] - tie
+                pieces += [data[a:b] for a, b in zip(start.tolist(), (start + n[at] + WINDOW - 1).tolist(), strict=True)]
+                parts.append((key[at], np.full(len(at), doc, np.int64), place[at], hot[at]))
+                if len(pieces) >= BATCH_ROWS:
+                    yield rows(parts, pieces)
+                    parts, pieces = [], []
+        if pieces:
+            yield rows(parts, pieces)
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -229,17 +254,22 @@ def _sorted_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, place and the two halves of the hash of every window of the contexts."""
     for batch in batches:
-        for doc, place, data in zip(*(batch[c].to_pylist() for c in ("doc_id", "place", "data")), strict=True):
+        docs, places = batch["doc_id"].to_numpy(), batch["place"].to_numpy()
+        some, digests, held = [], [], 0
+        for i, data in enumerate(batch["data"].to_pylist()):
             n = len(data) - WINDOW + 1
-            raw = b"".join(xxhash.xxh3_128_digest(data[i : i + WINDOW]) for i in range(n))
-            halves = np.frombuffer(raw, "<i8").reshape(n, 2)
-            yield pa.RecordBatch.from_pydict({
-                "h1": pa.array(np.ascontiguousarray(halves[:, 0])),
-                "h2": pa.array(np.ascontiguousarray(halves[:, 1])),
-                "doc_id": pa.array(np.full(n, doc, np.int64)),
-                "place": pa.array(place + np.arange(n), pa.int64()),
-            })
+            digests += [xxhash.xxh3_128_digest(data[k : k + WINDOW]) for k in range(n)]
+            some.append(i)
+            held += n
+            if held >= BATCH_ROWS or i + 1 == batch.num_rows:
+                sizes = np.array([len(d) for d in (batch["data"].slice(some[0], len(some)).to_pylist())]) - WINDOW + 1
+                owner = np.repeat(np.array(some), sizes)
+                offset = np.arange(held) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(held, 2)
+                yield pa.RecordBatch.from_pydict({"h1": pa.array(halves[:, 0].copy()), "h2": pa.array(halves[:, 1].copy()), "doc_id": pa.array(docs[owner]), "place": pa.array(places[owner] + offset)})
+                some, digests, held = [], [], 0
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

@@ -74,3 +74,15 @@ def test_suffix_order_is_sorted():
         # strings end at 0; up to there, WINDOW bytes are in order
         heads = [bytes(text[i : i + S.WINDOW]).split(b"\0")[0] for i in order]
         assert heads == sorted(heads)
+
+
+def test_suffix_order_of_some_suffixes():
+    draw = random.Random(2)
+    strings = [bytes(draw.choice(b"ab") for _ in range(draw.randint(100, 300))) for _ in range(6)] + [b"b" * 150, b"a" * 150]
+    text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
+    starts = np.concatenate([np.arange(len(s) + 1) <= len(s) - S.WINDOW for s in strings])
+    order = S.suffix_order(text, starts)
+    order = order[starts[order]]
+    assert sorted(order.tolist()) == np.flatnonzero(starts).tolist()
+    heads = [bytes(text[i : i + S.WINDOW]) for i in order]
+    assert heads == sorted(heads)
