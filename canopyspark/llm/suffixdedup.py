@@ -44,6 +44,16 @@ def tie_of(data: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(data) & 0x3FFFFF) << TIE_SHIFT
 
 
+def slide(pick: np.ufunc, values: np.ndarray, span: int) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over every span of neighbours."""
+    width = 1
+    while 2 * width <= span:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    rest = span - width
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+
+
 def window_keys(data: bytes) -> np.ndarray:
     """The key of every window: the smallest hash of the GRAM-byte strings in it."""
     n = len(data) - GRAM + 1
@@ -52,12 +62,7 @@ def window_keys(data: bytes) -> np.ndarray:
         h = (words[:n] * _MIX_A) ^ ((words[8 : 8 + n] + _MIX_A) * _MIX_B)
         h = (h ^ (h >> np.uint64(29))) * _MIX_B
     h ^= h >> np.uint64(32)
-    width, span = 1, WINDOW - GRAM + 1
-    while 2 * width <= span:
-        h = np.minimum(h[:-width], h[width:])
-        width *= 2
-    rest = span - width
-    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
+    return slide(np.minimum, h, WINDOW - GRAM + 1)
 
 
 def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,19 +281,21 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (exclusive; with the tie in the upper bits) of removed bytes; they may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id IS NOT NULL AND octet_length(text) >= {WINDOW}")
     found = texts.mapInArrow(_context_rows, "key long, ctx long, doc_id long, place long, n int")
-    often = found.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    # the small sides are written, so that the joins deal out both sides anew and hot keys can be split
+    often = written(found.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "suffix-keys")
     repeated = written(found.join(often, "key"), "suffix-contexts")
     places = F.struct("doc_id", "place")
     firsts = written(repeated.groupBy("key", "ctx").agg(F.min(places).alias("f"), F.max(places).alias("l"), F.first("n").alias("n")), "suffix-firsts")
-    sizes = firsts.groupBy("key").agg((F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long")) > HOT_BYTES).alias("hot"))
-    wanted = firsts.join(sizes, "key").select("key", "f.doc_id", "f.place", "n", "hot")
+    sizes = firsts.groupBy("key").agg(F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long")).alias("size"))
+    hot_keys = written(sizes.where(F.col("size") > HOT_BYTES).select("key", F.lit(True).alias("hot")), "suffix-hot")
+    wanted = firsts.join(hot_keys, "key", "left").select("key", "f.doc_id", "f.place", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "n", "hot")).alias("wanted"))
     pieces = written(texts.join(lists, "doc_id").mapInArrow(_cut, "key long, doc_id long, place long, hot boolean, data binary"), "suffix-pieces")
     cold = pieces.where("NOT hot").select("key", "doc_id", "place", "data")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = cold.repartition(count, "key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_sorted_chunks, "doc_id long, start long, stop long")
     windows = pieces.where("hot").mapInArrow(_windows, "h1 long, h2 long, doc_id long, place long")
-    earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("many")).where("many > 1").select("h1", "h2", "f")
+    earliest = written(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("many")).where("many > 1").select("h1", "h2", "f"), "suffix-windows")
     hot = windows.join(earliest, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("f")).select("doc_id", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
     copied = firsts.where("f <> l").select("key", "ctx", "f")
     others = repeated.join(copied, ["key", "ctx"]).where(F.struct("doc_id", "place") > F.col("f"))
