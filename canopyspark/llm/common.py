@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed by the result contracts: what separates words, and what a word is.
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Fixed by the result contracts: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,8 +36,11 @@ def written(df: DataFrame, prefix: str) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    spaced = F.coalesce(text, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(tokens(text)).cast("long")

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from canopyspark.llm.common import WORD, table, tokens
 
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 BUCKETS = 1 << 14
 SAMPLE_DOCS = 20000
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
@@ -37,15 +36,16 @@ def base_columns(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
     whole = F.coalesce(text, F.lit(""))
     step = docs.select(*keep, whole.alias("whole_text"), tokens(text).alias("words"))
     lines = F.filter(F.split("whole_text", "\n"), lambda l: l.rlike(WORD))
-    windows = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 4, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2), F.get("words", i + 3), F.get("words", i + 4)))
-    step = step.select("*", lines.alias("lines"), windows.alias("windows"))
+    step = step.select("*", lines.alias("lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    step = step.select("*", _pairs(F.col("hashes"), F.col("hashes"), 1).alias("two")).select("*", _pairs(F.col("two"), F.col("two"), 2).alias("four"))
+    step = step.select("*", _pairs(F.col("four"), F.col("hashes"), 4).alias("windows"))
     n_words = F.size("words").cast("long")
     step = step.select(
         *keep,
         "windows",
         n_words.alias("n_words"),
-        F.length(F.translate("whole_text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("whole_text") - F.length(F.translate("whole_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("whole_text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     step = step.withColumn("repeated", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _repeated_starts(F.col("windows"))).otherwise(F.array().cast("array<int>")))
@@ -60,6 +60,12 @@ def base_columns(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
     return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
+def _pairs(left: Column, right: Column, gap: int) -> Column:
+    """The hashes of each element of left and the element of right gap places on, as far as both exist."""
+    n = F.greatest(F.size(right) - gap, F.lit(0))
+    return F.zip_with(F.slice(left, 1, n), F.slice(right, gap + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
 def _repeated_starts(windows: Column) -> Column:
     """Ascending starts of the windows whose hash occurs twice or more: sort by hash, look at both neighbours."""
     ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -67,16 +73,15 @@ def _repeated_starts(windows: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(F.array(ordered), same)))
 
 
-def buckets(text: Column) -> Column:
-    """The hash buckets of a text's uni- and bigrams."""
+def grams(text: Column) -> Column:
+    """The 64-bit hashes of a text's uni- and bigrams."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    hashes = F.transform(found, lambda w: F.xxhash64(w))
+    return F.flatten(F.transform(F.array(hashes), lambda h: F.concat(h, _pairs(h, h, 1))))
 
-    def grams(t: Column) -> Column:
-        one = F.transform(t, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-        two = F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda w, i: F.pmod(F.xxhash64(w, F.get(t, i + 1)), F.lit(BUCKETS)).cast("int"))
-        return F.concat(one, two)
 
-    return F.flatten(F.transform(F.array(found), grams))
+def bucket(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def labelled_sample(labels: DataFrame, sample_docs: int) -> DataFrame:
@@ -94,15 +99,15 @@ class RatioModel:
 
     def score(self, text: Column) -> Column:
         table = F.split(F.lit(",".join(map(repr, self.ratio))), ",").cast("array<double>")
-        total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
+        total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, bucket(b)))
         return F.coalesce(F.try_divide(total, F.size("grams")), F.lit(0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> RatioModel:
     sample = F.broadcast(labelled_sample(labels, sample_docs))
     marked = docs.select("doc_id", "text").join(sample, "doc_id", "left")
-    grams = marked.select(F.coalesce("trusted", F.lit(False)).cast("int").alias("t"), F.explode(buckets(F.col("text"))).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # BUCKETS rows at most
+    every = marked.select(F.coalesce("trusted", F.lit(False)).cast("int").alias("t"), F.explode(grams(F.col("text"))).alias("gram"))
+    counted = every.select("t", bucket(F.col("gram")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # BUCKETS rows at most
     raw_all, target_all = sum(r["raw"] for r in counted), sum(r["target"] for r in counted)
     ratio = [0.0] * BUCKETS
     if not target_all:
@@ -110,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -
     for r in counted:
         ratio[r["bucket"]] = math.log((r["target"] + 1) / (target_all + BUCKETS)) - math.log((r["raw"] + 1) / (raw_all + BUCKETS))
     model = RatioModel(ratio, -math.inf)
-    judged = docs.select("doc_id", "text").join(sample, "doc_id").select("trusted", buckets(F.col("text")).alias("grams"))
+    judged = docs.select("doc_id", "text").join(sample, "doc_id").select("trusted", grams(F.col("text")).alias("grams"))
     scores = sorted((r["score"], r["trusted"]) for r in judged.select("trusted", model.score(F.col("text")).alias("score")).collect())  # sample_docs rows at most
     model.threshold = cut(scores)
     return model
@@ -136,7 +141,7 @@ def cut(scores: list[tuple[float, bool]]) -> float:
 
 def judge(docs: DataFrame, model: RatioModel) -> DataFrame:
     """doc_id, the base columns, score and kept of every row."""
-    step = docs.select("doc_id", "text", buckets(F.col("text")).alias("grams"))
+    step = docs.select("doc_id", "text", grams(F.col("text")).alias("grams"))
     step = step.select("doc_id", "text", model.score(F.col("text")).alias("score"))
     out = base_columns(step, F.col("text"), "doc_id", "score")
     threshold = F.lit(model.threshold)
