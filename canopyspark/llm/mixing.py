@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import table, word_count
+from canopyspark.llm.common import table, word_count, written
 
 #: Fixed by the result contract: weights by source rank, repeating, and the cap on repeats.
 WEIGHTS = (5, 2, 1)
@@ -30,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 def quality_weight(text: Column) -> Column:
     """1 for prose, towards 1/11 as symbols take over; in (0, 1]."""
     length = F.length(text).cast("double")
-    symbols = length - F.length(F.translate(text, SYMBOLS, "")).cast("double")
+    symbols = F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("double")
     return F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.lit(10.0) * F.try_divide(symbols, length)), F.lit(1.0))
 
 
@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: flo
     kept = docs.select(F.col("doc_id"), F.col("source"), word_count(text).alias("size"), rate.alias("rate"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     keyed = kept.withColumn("sample_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("rate")).withColumn("source_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")))
     sliced = keyed.withColumn("slice", F.least(F.lit(slices - 1), F.floor(F.lit(slices) * (1 - F.exp(-F.col("sample_key"))))).cast("long"))
-    sums = sliced.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
+    sums = written(sliced.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source")), "mixing-slices")
     upto = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sums.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
     targets = source_targets(sizes, weights, cap).drop("source")
