@@ -244,7 +244,6 @@ def similar_groups(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     lists = prefix.withColumn("place", F.row_number().over(by_gram))
     often = prefix.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
     lists = written(lists.join(often, "gram"), "jaccard-lists")
-    edges = None
     components = None
     step = 0
     while True:
@@ -265,8 +264,9 @@ def similar_groups(docs: DataFrame, n: int = NGRAM) -> DataFrame:
         other = (labelled["gram"] == hub["gram"]) & (F.col("place") > F.col("pa")) & (F.col("component") != F.col("ca")) & fits & room
         pairs = labelled.join(hub, other).select("a", F.col("row_id").alias("b")).distinct()
         found = written(_overlaps(pairs, sets), "jaccard-links")
-        edges = found if edges is None else edges.unionByName(found)
-        components = connected_components(edges)
+        if components is not None:
+            found = found.unionByName(components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        components = connected_components(found)
         step += 1
     known = components.select(F.col("node").alias("rep"), F.col("component").alias("group"))
     grouped = members.select("row_id", "rep").join(known, "rep", "left").select("row_id", F.coalesce("group", "rep").alias("group"))
