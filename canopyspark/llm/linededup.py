@@ -1,15 +1,23 @@
-"""Near-duplicate line removal by a deletion-neighbourhood join, with DataFrame functions only.
+"""Near-duplicate line removal by deletion neighbourhoods within the edit bound, with DataFrame functions only.
 
-A line is lower-cased, its white space is collapsed, and it is cut into segments at sentence marks.
-Its variants are the bag of all its segments and, from MIN_SEGMENTS on, every bag with one segment
-left out: two lines that differ in one segment share a variant. Each variant is a hashed key (xor and
-sum of segment hashes, so leaving one out costs one step). Lines with equal keys are joined to the
-earliest line of the key, found with map-side combine, so a group of g lines makes g pairs and not
-g * g. Each pair is verified: the edit distance between the two lines must be at most a tenth of the
-longer one, and at most MAX_EDITS. A line that has an earlier line in this sense is removed.
+A line is lower-cased and its white space is collapsed. A line is removed if an earlier line is equal
+to it or within the bound: at most a tenth of the longer line's length in edits, and at most MAX_EDITS.
 
-Earlier means a smaller doc_id, or the same doc_id and a smaller line number. A line is compared
-with the earliest line of each of its keys; that line may itself be removed for a still earlier one.
+Equal lines are found by a 128-bit hash; from there on each different line is one row, with its first
+place and a number in the order of places. Two rounds find the pairs to verify by edit distance.
+
+1. A line is cut into segments at sentence marks. Its variants are the bag of all its segments and,
+   from MIN_SEGMENTS on, every bag with one segment left out, each a hashed key (xor and sum of segment
+   hashes). A line is compared with the earliest line of each key, so a group of g lines makes g pairs.
+   This only spares work: lines that are removed here need no other proof.
+2. All pairs that are left. k edits leave one of k + 1 parts of the longer line as it is, moved by k
+   places at most: everything but that part is left out of the variant. The longer line gives the first
+   part_chars characters of each of its k + 1 even parts, the shorter one all strings of so many
+   characters, and those that are equal, at like places of lines of like lengths, make a pair, of which
+   the later line is still open. No key is bound to one partner.
+
+Earlier means a smaller doc_id, or the same doc_id and a smaller line number. The earlier line may
+itself be removed for a still earlier one.
 
 Defined results: lines of fewer than MIN_WORDS words are never removed and remove nothing; null
 text stays null; a row with a null doc_id stays as it is and takes no part; rows that repeat a
@@ -28,6 +36,9 @@ MIN_SEGMENTS = 3
 MAX_EDITS = 64
 MAX_EDIT_SHARE = 10
 _LOW = (1 << 40) - 1
+#: Length of a line from which on its parts are compared by so many characters; no part is shorter.
+PART_CHARS = {0: 5, 20: 6, 30: 7, 40: 8, 90: 9, 1040: 16, 2080: 32}
+BLOCK_CHARS = 512
 
 
 def plain_line(line: Column) -> Column:
@@ -54,28 +65,96 @@ def edit_bound(a: Column, b: Column) -> Column:
     return F.least(F.lit(MAX_EDITS), F.floor(F.greatest(F.length(a), F.length(b)) / MAX_EDIT_SHARE).cast("int"))
 
 
+def edits(length: Column) -> Column:
+    """The bound of pairs whose longer line has this length."""
+    return F.least(F.lit(MAX_EDITS), F.floor(length / MAX_EDIT_SHARE).cast("int"))
+
+
+def part_chars(length: Column) -> Column:
+    out = F.lit(PART_CHARS[0])
+    for least, chars in PART_CHARS.items():
+        out = F.when(length >= least, F.lit(chars)).otherwise(out)
+    return out
+
+
+def length_class(length: Column) -> Column:
+    return F.floor(F.log(length.cast("double")) * 4).cast("int")
+
+
+def part_key(part: Column, kind: Column, place: Column) -> Column:
+    """The key of a string at a place (in steps) of the shorter line, whose length is of this class."""
+    return F.xxhash64(part, kind, place)
+
+
+def _step(kind: Column) -> Column:
+    """Places count in steps of twice the bound of about the longest lines that are compared with the class."""
+    return F.least(F.lit(2 * MAX_EDITS), F.floor(F.exp((kind + 1) / 4) / 4).cast("int") + 2)
+
+
+def part_rows(lines: DataFrame) -> DataFrame:
+    """key, b and n_b: the k + 1 parts of each line, as the longer line of a pair."""
+    k, n = F.col("k"), F.col("n")
+    parts = F.transform(F.sequence(F.lit(0), k), lambda j: F.floor(j.cast("long") * n / (k + 1)).cast("int"))
+    rows = lines.select(F.col("id").alias("b"), "line", "n", edits(n).alias("k")).where("k > 0").select("b", "line", "n", "k", F.explode(parts).alias("at"))
+    rows = rows.select("b", "n", "k", "at", F.col("line").substr(F.col("at") + 1, part_chars(n)).alias("part"))
+    rows = rows.withColumn("kind", F.explode(F.sequence(length_class(n - k), length_class(n))))
+    around = [F.floor((F.col("at") + side * k) / _step(F.col("kind"))).cast("int") for side in (-1, 1)]
+    rows = rows.withColumn("place", F.explode(F.sequence(*around)))
+    return rows.select(part_key(F.col("part"), F.col("kind"), F.col("place")).alias("key"), "b", F.col("n").alias("n_b"))
+
+
+def substring_rows(lines: DataFrame) -> DataFrame:
+    """key, a and n_a: all strings of each line that parts of a longer or equally long line may equal."""
+    n = F.col("n")
+    longest = n + F.least(F.lit(MAX_EDITS), F.floor(n / (MAX_EDIT_SHARE - 1)).cast("int") + 1)
+    rows = lines.select(F.col("id").alias("a"), "line", "n", F.explode(F.array_distinct(F.array(part_chars(n), part_chars(longest)))).alias("q")).where("n >= q")
+    # in blocks, as a substring is found by walking from the start of its text
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), n - F.col("q"), F.lit(BLOCK_CHARS))))
+    rows = rows.select("a", "n", "q", "first", F.col("line").substr(F.col("first") + 1, F.lit(BLOCK_CHARS - 1) + F.col("q")).alias("block"), length_class(n).alias("kind"))
+    keys = F.transform(F.sequence(F.lit(0), F.length("block") - F.col("q")), lambda i: part_key(F.col("block").substr(i + 1, F.col("q")), F.col("kind"), F.floor((F.col("first") + i) / _step(F.col("kind"))).cast("int")))
+    return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "a", F.col("n").alias("n_a"))
+
+
+def near_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (id, other) of lines within the bound; other is the earlier one."""
+    later, first = (lines.select(F.col("id").alias(i), F.struct("doc_id", "line_no").alias(f"{i}_at"), F.col("line").alias(t)) for i, t in (("id", "line"), ("other", "first_line")))
+    both = pairs.join(later, "id").join(first, "other").where("id_at > other_at")
+    bound = edit_bound(F.col("line"), F.col("first_line"))
+    # a negative distance says that the bound is exceeded; lengths that differ too much are not compared
+    near = (F.abs(F.length("line") - F.length("first_line")) <= bound) & F.expr(f"levenshtein(line, first_line, {MAX_EDITS})").between(F.lit(0), bound)
+    return both.where(near).select("id", "other")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id and the ascending numbers (from 0) of its lines that have an earlier near copy."""
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.size(tokens(F.col("line"))) >= MIN_WORDS).select("doc_id", "line_no", plain_line(F.col("line")).alias("line"))
+    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    different = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("line").alias("line"))
+    # numbered after the sort, so that numbers rise with places
+    different = different.select("h1", "h2", "at.doc_id", "at.line_no", "line").orderBy("doc_id", "line_no")
+    different = written(different.select(F.monotonically_increasing_id().alias("id"), "*", F.length("line").alias("n")), "line-different")
+    equal = hashed.drop("line").join(different.select("h1", "h2", F.struct("doc_id", "line_no").alias("at")), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("at")).select("doc_id", "line_no")
+
     segments = F.filter(F.split("line", r"[.!?]+ ?"), lambda s: s != "")
-    variants = written(lines.select("doc_id", "line_no", segments.alias("segments")).select("doc_id", "line_no", F.explode(variant_keys(F.col("segments"))).alias("key")), "line-variants")
-    earliest = variants.groupBy("key").agg(F.min("doc_id").alias("d0"), F.count("*").alias("many")).where("many > 1").select("key", "d0")
-    shared = written(variants.join(earliest, "key"), "line-shared")
-    home = shared.where(F.col("doc_id") == F.col("d0")).groupBy("key").agg(F.min("line_no").alias("l0"))
-    later = (F.col("doc_id") > F.col("d0")) | (F.col("line_no") > F.col("l0"))
-    pairs = written(shared.join(home, "key").where(later).select("doc_id", "line_no", "d0", "l0").distinct(), "line-pairs")
-    ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("d0").alias("doc_id"), F.col("l0").alias("line_no"))).distinct()
-    wanted = ends.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("wanted"))
-    picked = texts.join(wanted, "doc_id").select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).where(F.array_contains("wanted", F.col("line_no")))
-    known = picked.select("doc_id", "line_no", plain_line(F.col("t")).alias("line"))
-    first = known.select(F.col("doc_id").alias("d0"), F.col("line_no").alias("l0"), F.col("line").alias("first_line"))
-    both = pairs.join(known, ["doc_id", "line_no"]).join(first, ["d0", "l0"])
-    bound = edit_bound(F.col("line"), F.col("first_line"))
-    # a negative distance says that the bound is exceeded; lengths that differ too much are not compared
-    near = (F.col("line") == F.col("first_line")) | ((F.abs(F.length("line") - F.length("first_line")) <= bound) & (F.expr(f"levenshtein(line, first_line, {MAX_EDITS})").between(F.lit(0), bound)))
-    return both.where(near).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    variants = written(different.select("id", segments.alias("segments")).select("id", F.explode(variant_keys(F.col("segments"))).alias("key")), "line-variants")
+    earliest = written(variants.groupBy("key").agg(F.min("id").alias("other"), F.count("*").alias("many")).where("many > 1").select("key", "other"), "line-earliest")
+    pairs = written(variants.join(earliest, "key").where("id > other").select("id", "other").distinct(), "line-pairs")
+    closed = written(near_pairs(pairs, different).select("id").distinct(), "line-closed")
+
+    marked = written(different.join(closed.withColumn("closed", F.lit(True)), "id", "left").select("id", "line", "n", F.coalesce("closed", F.lit(False)).alias("closed")), "line-marked")
+    still = marked.where("NOT closed").select("id", "line", "n")
+    is_longer_later = "b > a"
+    fits = (F.col("n_b") >= F.col("n_a")) & (F.col("n_b") - F.col("n_a") <= edits(F.col("n_b"))) & (F.col("a") != F.col("b"))
+    found = [
+        part_rows(marked).join(substring_rows(still), "key").where(fits & ~F.expr(is_longer_later)),
+        part_rows(still).join(substring_rows(marked), "key").where(fits & F.expr(is_longer_later)),
+    ]
+    others = found[0].select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(found[1].select(F.col("b").alias("id"), F.col("a").alias("other")))
+    rest = near_pairs(written(others.distinct(), "line-others"), different).select("id").distinct()
+    near = closed.unionByName(rest).join(different, "id").select("doc_id", "line_no")
+    return equal.unionByName(near).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -83,3 +83,44 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_all_pairs(rows):
+    lines = {}
+    for doc_id, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            plain = " ".join(line.lower().split())
+            if plain.count(" ") >= 4:
+                lines[doc_id, n] = plain
+    gone = set()
+    for at, b in lines.items():
+        for other, a in lines.items():
+            bound = min(64, max(len(a), len(b)) // 10)
+            if other < at and abs(len(a) - len(b)) <= bound and distance(a, b) <= bound:
+                gone.add(at)
+                break
+    return sorted([(d, "\n".join(l for n, l in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in rows], key=str)
+
+
+def edited(draw, line, most):
+    chars = list(line)
+    for _ in range(draw.randint(0, most)):
+        at = draw.randrange(len(chars))
+        if chars[at] in " .":
+            continue
+        chars[at] = draw.choice(["", "x", "é", chars[at] + "y"])
+    return "".join(chars)
+
+
+def test_all_lines_within_the_bound_go(spark):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choices("abcdefgño", k=draw.randint(1, 9)))
+    pool = [" ".join(word() for _ in range(k)) + draw.choice(["", "."]) for k in (5, 5, 6, 7, 8, 10, 12, 16, 20, 30, 45)]
+    pool.append(". ".join(" ".join(word() for _ in range(7)) for _ in range(6)))
+    rows = []
+    for i in range(60):
+        line = draw.choice(pool) if i > 1 else " ".join(word() for _ in range(240))
+        rows.append((i, "\n".join([edited(draw, line, min(70, len(line) // 9 + 1)) for _ in range(2)])))
+    got = run(spark, rows)
+    assert got == brute_all_pairs(rows)
+    assert sum(t.count("\n") + (t != "") for _, t in got) < 100
