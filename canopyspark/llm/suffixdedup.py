@@ -2,7 +2,8 @@
 
 Every 100-byte window of a text has a key, its smallest 16-byte hash; equal windows have equal keys.
 Neighbouring windows of one key form a context (their bytes, WINDOW - 1 more than windows). Contexts
-whose key occurs once are dropped; equal contexts are one row with their earliest place. Contexts are
+whose key occurs once are dropped, unless their smallest 16-byte string recurs in
+them, as it does where a text of short period holds a window twice; equal contexts are one row with their earliest place. Contexts are
 dealt by key, and each task sorts the suffixes of its contexts: suffixes smaller than their successor
 are sorted directly, the rest are induced by scanning the buckets of first bytes in ascending order.
 Adjacent common prefixes of WINDOW bytes or more then give the groups of equal windows, and all but
@@ -54,23 +55,25 @@ def slide(pick: np.ufunc, values: np.ndarray, span: int) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def window_keys(data: bytes) -> np.ndarray:
-    """The key of every window: the smallest hash of the GRAM-byte strings in it."""
+def gram_hashes(data: bytes) -> np.ndarray:
+    """The hash of every GRAM-byte string."""
     n = len(data) - GRAM + 1
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
         h = (words[:n] * _MIX_A) ^ ((words[8 : 8 + n] + _MIX_A) * _MIX_B)
         h = (h ^ (h >> np.uint64(29))) * _MIX_B
     h ^= h >> np.uint64(32)
-    return slide(np.minimum, h, WINDOW - GRAM + 1)
+    return h
 
 
-def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, first window and number of windows of each context."""
+def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, first window and number of windows of each context, and whether it may hold a window twice."""
     if len(data) < WINDOW:
         none = np.empty(0, np.int64)
-        return none, none, none
-    keys = window_keys(data)
+        return none, none, none, none.astype(bool)
+    span = WINDOW - GRAM + 1
+    h = gram_hashes(data)
+    keys = slide(np.minimum, h, span)  # the key of every window: its smallest hash
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     start = np.append(0, cut)
     size = np.diff(np.append(start, len(keys)))
@@ -79,7 +82,14 @@ def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(size)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start, size = start[owner] + nth * MAX_RUN, np.minimum(size[owner] - nth * MAX_RUN, MAX_RUN)
-    return keys[start].view(np.int64), start, size
+    # equal windows hold their smallest hash at equal places: without two places of it, no window recurs
+    edge = np.zeros(span - 1, np.uint64)
+    lowest = np.flatnonzero(h == slide(np.maximum, np.concatenate([edge, keys, edge]), span))
+    begin, stop = np.searchsorted(lowest, start), np.searchsorted(lowest, start + size + span - 1)
+    owner = np.repeat(np.arange(len(start)), stop - begin)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(stop - begin) - (stop - begin), stop - begin)
+    own = owner[h[lowest[begin[owner] + nth]] == keys[start[owner]]]
+    return keys[start].view(np.int64), start, size, np.bincount(own, minlength=len(start)) > 1
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
@@ -179,17 +189,17 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(parts: list) -> pa.RecordBatch:
-        key, ctx, doc, place, n = map(np.concatenate, zip(*parts, strict=True))
-        return pa.RecordBatch.from_pydict({"key": pa.array(key), "ctx": pa.array(ctx), "doc_id": pa.array(doc), "place": pa.array(place), "n": pa.array(n)})
+        key, ctx, doc, place, n, again = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "ctx": pa.array(ctx), "doc_id": pa.array(doc), "place": pa.array(place), "n": pa.array(n), "again": pa.array(again)})
 
     for batch in batches:
         parts, held = [], 0
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             data = text.encode()
-            key, start, size = contexts(data)
+            key, start, size, again = contexts(data)
             stop = start + size + WINDOW - 1
             ctx = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
-            parts.append((key, ctx.view(np.int64), np.full(len(key), doc, np.int64), start + tie_of(data), size.astype(np.int32)))
+            parts.append((key, ctx.view(np.int64), np.full(len(key), doc, np.int64), start + tie_of(data), size.astype(np.int32), again))
             held += len(key)
             if held >= BATCH_ROWS:
                 yield rows(parts)
@@ -280,10 +290,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (exclusive; with the tie in the upper bits) of removed bytes; they may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id IS NOT NULL AND octet_length(text) >= {WINDOW}")
-    found = texts.mapInArrow(_context_rows, "key long, ctx long, doc_id long, place long, n int")
+    found = texts.mapInArrow(_context_rows, "key long, ctx long, doc_id long, place long, n int, again boolean")
     # the small sides are written, so that the joins deal out both sides anew and hot keys can be split
-    often = written(found.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "suffix-keys")
-    repeated = written(found.join(often, "key"), "suffix-contexts")
+    often = written(found.groupBy("key").agg(F.count("*").alias("many"), F.max("again").alias("again")).where("many > 1 OR again").select("key"), "suffix-keys")
+    repeated = written(found.drop("again").join(often, "key"), "suffix-contexts")
     places = F.struct("doc_id", "place")
     firsts = written(repeated.groupBy("key", "ctx").agg(F.min(places).alias("f"), F.max(places).alias("l"), F.first("n").alias("n")), "suffix-firsts")
     sizes = firsts.groupBy("key").agg(F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long")).alias("size"))

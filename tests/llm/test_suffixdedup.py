@@ -64,6 +64,16 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_lone_texts_of_short_period(spark):
+    draw = random.Random(12)
+    text = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    rows = [(1, "ab " * 100), (2, text(300) + "-" * 150 + text(200)), (3, text(85) * 3), (4, text(86) * 3), (5, text(90) + "Sich " * 60 + text(500)), (6, text(600)), (7, text(84) * 2 + text(300))]
+    for row in rows:  # alone: no other document has its keys
+        assert run(spark, [row]) == brute([row])
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows[:1])[0][2] == 297  # all but the first period
+
+
 def test_suffix_order_is_sorted():
     draw = random.Random(1)
     for alphabet in (2, 4, 200):
