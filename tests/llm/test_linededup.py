@@ -124,3 +124,12 @@ def test_all_lines_within_the_bound_go(spark):
     got = run(spark, rows)
     assert got == brute_all_pairs(rows)
     assert sum(t.count("\n") + (t != "") for _, t in got) < 100
+
+
+def test_a_foreign_first_line_of_a_key_hides_no_pair(spark):
+    first, second = "Alpha beta gamma delta", "Epsilon zeta eta theta"
+    long = "the quiet river runs past the old stone house"
+    rows = [(1, f"{first}. {second}. Nothing here is like what the other two lines have to say."), (2, f"{first}. {second}. {long}."), (3, f"{first}. {second}. {long}s.")]
+    got = run(spark, rows)
+    assert got == brute_all_pairs(rows)
+    assert got == [*rows[:2], (3, "")]
