@@ -34,6 +34,14 @@ def written(df: DataFrame, prefix: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of written frames that no later step reads."""
+    for df in frames:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def tokens(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     spaced = F.coalesce(text, F.lit(""))

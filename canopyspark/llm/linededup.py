@@ -1,166 +1,194 @@
-"""Near-duplicate line removal by deletion neighbourhoods within the edit bound, with DataFrame functions only.
+"""Near-duplicate line removal by deletion neighbourhoods within one edit, with DataFrame functions only.
 
-A line is lower-cased and its white space is collapsed. A line is removed if an earlier line is equal
-to it or within the bound: at most a tenth of the longer line's length in edits, and at most MAX_EDITS.
+A line is lower-cased and its white space is collapsed. The edit bound: a line is near an earlier one if
+it is equal to it or becomes equal by one edit, which puts in, leaves out or replaces one piece. Pieces
+are single words, and whole sentences of at most a tenth of their line's characters, so that the bound
+grows with the line.
 
-Equal lines are found by a 128-bit hash; from there on each different line is one row, with its first
-place and a number in the order of places. Two rounds find the pairs to verify by edit distance.
+Every variant within the bound is a hashed key: the line with a hole at piece i (replaced), the line
+without piece i (left out), and the line with a gap before piece i, which meets the longer line without
+its piece i (put in). All lines of a hole key are one edit from each other, and all lines of a gap key
+are one edit from all lines that leave a piece out there. So the earliest line of a key decides for the
+whole key, by an aggregate with map-side combine: no pairs are listed, and no partner is missed. The
+edit is then verified on the two lines' pieces. Earlier means a smaller doc_id, then a smaller hash of
+the text, then a smaller line number. The earlier line may itself be removed for a still earlier one.
 
-1. A line is cut into segments at sentence marks. Its variants are the bag of all its segments and,
-   from MIN_SEGMENTS on, every bag with one segment left out, each a hashed key (xor and sum of segment
-   hashes). A line is compared with the earliest line of each key, so a group of g lines makes g pairs.
-   This only spares work: lines that are removed here need no other proof.
-2. All pairs that are left. k edits leave one of k + 1 parts of the longer line as it is, moved by k
-   places at most: everything but that part is left out of the variant. The longer line gives the first
-   part_chars characters of each of its k + 1 even parts, the shorter one all strings of so many
-   characters, and those that are equal, at like places of lines of like lengths, make a pair, of which
-   the later line is still open. No key is bound to one partner.
-
-Earlier means a smaller doc_id, or the same doc_id and a smaller line number. The earlier line may
-itself be removed for a still earlier one.
+Equal lines are found first, by a 128-bit hash; from there on each different line is one row. Two lines
+one edit apart share their first or their last half of pieces, so a line of which no half occurs in
+another line of its length, or of one piece more or less, has no partner and makes no variants.
 
 Defined results: lines of fewer than MIN_WORDS words are never removed and remove nothing; null
 text stays null; a row with a null doc_id stays as it is and takes no part; rows that repeat a
-doc_id do not outrank each other; a text that loses all lines becomes empty; empty tables stay so.
+doc_id with other text are rows of their own; rows that repeat doc_id and text are one place and do not
+outrank each other; a text that loses all lines becomes empty; empty tables stay so. Variants are
+written to the shared folder when dedup_lines is called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import table, tokens, written
+from canopyspark.llm.common import discard, table, tokens, written
 
 MIN_WORDS = 5
-MIN_SEGMENTS = 3
-MAX_EDITS = 64
-MAX_EDIT_SHARE = 10
-_LOW = (1 << 40) - 1
-#: Length of a line from which on its parts are compared by so many characters; no part is shorter.
-PART_CHARS = {0: 5, 20: 6, 30: 7, 40: 8, 90: 9, 1040: 16, 2080: 32}
-BLOCK_CHARS = 512
+MAX_SENTENCE_SHARE = 10
+UNITS = ("words", "sentences")
+SIDES = ("first", "last")
+KINDS = ("replace", "gap", "without")
+PLACE = ("doc_id", "tie", "line_no")
 
 
 def plain_line(line: Column) -> Column:
     return F.array_join(tokens(F.lower(line)), " ")
 
 
-def variant_keys(segments: Column) -> Column:
-    """The keys of a line's variants from its segments."""
+def sentences(plain: Column) -> Column:
+    return F.split(plain, "(?<=[.!?]) ")
 
-    def keys(h: Column) -> Column:
-        state = F.aggregate(
-            h,
-            F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("s")),
-            lambda a, v: F.struct(a["x"].bitwiseXOR(v).alias("x"), (a["s"] + v.bitwiseAND(F.lit(_LOW))).alias("s")),
-        )
-        whole = F.transform(F.array(state), lambda t: F.xxhash64(t["x"], t["s"], F.size(h)))
-        less = F.flatten(F.transform(F.array(state), lambda t: F.transform(h, lambda v: F.xxhash64(t["x"].bitwiseXOR(v), t["s"] - v.bitwiseAND(F.lit(_LOW)), F.size(h) - 1))))
-        return F.when(F.size(h) >= MIN_SEGMENTS, F.array_distinct(F.concat(whole, less))).otherwise(whole)
 
-    return F.flatten(F.transform(F.array(F.transform(segments, lambda s: F.xxhash64(s))), keys))
+def pieces(plain: Column, unit: str) -> Column:
+    return F.split(plain, " ") if unit == "words" else sentences(plain)
 
 
-def edit_bound(a: Column, b: Column) -> Column:
-    return F.least(F.lit(MAX_EDITS), F.floor(F.greatest(F.length(a), F.length(b)) / MAX_EDIT_SHARE).cast("int"))
+def removable(piece: Column, line: Column, unit: str) -> Column:
+    """Whether the edit bound lets this piece of the line go."""
+    return F.lit(True) if unit == "words" else MAX_SENTENCE_SHARE * F.length(piece) <= F.length(line)
 
 
-def edits(length: Column) -> Column:
-    """The bound of pairs whose longer line has this length."""
-    return F.least(F.lit(MAX_EDITS), F.floor(length / MAX_EDIT_SHARE).cast("int"))
+def half(shorter: Column) -> Column:
+    """Pieces that lines of so many pieces, or one more, share at one end at least if they are one edit apart."""
+    return F.greatest(F.lit(1), F.floor(shorter / 2).cast("int"))
 
 
-def part_chars(length: Column) -> Column:
-    out = F.lit(PART_CHARS[0])
-    for least, chars in PART_CHARS.items():
-        out = F.when(length >= least, F.lit(chars)).otherwise(out)
-    return out
+def flag(unit: str, kind: str, side: str) -> int:
+    return 1 << (UNITS.index(unit) * 6 + KINDS.index(kind) * 2 + SIDES.index(side))
+
+
+def half_keys(array: Column, unit: str, some_removable: Column) -> list[Column]:
+    """Keys of the halves of a line's pieces: as a line of n pieces, first and last, and as the longer of two lines."""
+
+    def key(side: str, shorter: Column) -> Column:
+        at = F.lit(1) if side == "first" else F.size(array) - half(shorter) + 1
+        return F.xxhash64(F.lit(unit + side), shorter, F.slice(array, at, half(shorter)))
+
+    longer = (F.size(array) > 1) & some_removable
+    return [key(s, F.size(array)) for s in SIDES] + [F.when(longer, key(s, F.size(array) - 1)) for s in SIDES]
 
 
-def length_class(length: Column) -> Column:
-    return F.floor(F.log(length.cast("double")) * 4).cast("int")
+def texts_of(docs: DataFrame) -> DataFrame:
+    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return known.select("doc_id", F.xxhash64("text").alias("tie"), "text")
 
 
-def part_key(part: Column, kind: Column, place: Column) -> Column:
-    """The key of a string at a place (in steps) of the shorter line, whose length is of this class."""
-    return F.xxhash64(part, kind, place)
+def different_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines as written rows of hashes, and the earliest place and half keys of each different one."""
+    lines = texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select(*PLACE, tokens(F.lower("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    lines = lines.select(*PLACE, "w", F.array_join("w", " ").alias("line")).select("*", sentences(F.col("line")).alias("s"))
+    short = F.exists("s", lambda x: removable(x, F.col("line"), "sentences"))
+    keys = F.array(*half_keys(F.col("w"), "words", F.lit(True)), *half_keys(F.col("s"), "sentences", short))
+    hashed = written(lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys")), "line-hashes")
+    # equal lines have equal keys
+    return hashed, hashed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE, "keys")).alias("at"), F.count("*").alias("many")).select("h1", "h2", "at.*", "many")
 
 
-def _step(kind: Column) -> Column:
-    """Places count in steps of twice the bound of about the longest lines that are compared with the class."""
-    return F.least(F.lit(2 * MAX_EDITS), F.floor(F.exp((kind + 1) / 4) / 4).cast("int") + 2)
+def possible_edits(different: DataFrame) -> DataFrame:
+    """doc_id, tie and lines (number, flags) of the lines that share a half with a line of fitting length."""
+    halves = different.select(*PLACE, F.posexplode("keys").alias("code", "key")).where("key IS NOT NULL")
+    longer = F.col("code").bitwiseAND(2) > 0
+    shared = halves.groupBy("key").agg(F.count_if(~longer).alias("same"), F.count_if(longer).alias("longer"))
+    shared = written(shared.where("same > 1 OR same > 0 AND longer > 0"), "line-halves")
+    met = halves.join(shared, "key")
 
+    flags = F.lit(0)
+    for u, unit in enumerate(UNITS):
+        for s, side in enumerate(SIDES):
+            as_equal = F.when(F.col("same") > 1, flag(unit, "replace", side)).otherwise(0) + F.when(F.col("longer") > 0, flag(unit, "gap", side)).otherwise(0)
+            flags = F.when(F.col("code") == u * 4 + s, as_equal).when(F.col("code") == u * 4 + 2 + s, flag(unit, "without", side)).otherwise(flags)
+    per_line = met.groupBy(*PLACE).agg(F.bit_or(flags).alias("flags"))
+    return per_line.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "flags")).alias("lines"))
 
-def part_rows(lines: DataFrame) -> DataFrame:
-    """key, b and n_b: the k + 1 parts of each line, as the longer line of a pair."""
-    k, n = F.col("k"), F.col("n")
-    parts = F.transform(F.sequence(F.lit(0), k), lambda j: F.floor(j.cast("long") * n / (k + 1)).cast("int"))
-    rows = lines.select(F.col("id").alias("b"), "line", "n", edits(n).alias("k")).where("k > 0").select("b", "line", "n", "k", F.explode(parts).alias("at"))
-    rows = rows.select("b", "n", "k", "at", F.col("line").substr(F.col("at") + 1, part_chars(n)).alias("part"))
-    rows = rows.withColumn("kind", F.explode(F.sequence(length_class(n - k), length_class(n))))
-    around = [F.floor((F.col("at") + side * k) / _step(F.col("kind"))).cast("int") for side in (-1, 1)]
-    rows = rows.withColumn("place", F.explode(F.sequence(*around)))
-    return rows.select(part_key(F.col("part"), F.col("kind"), F.col("place")).alias("key"), "b", F.col("n").alias("n_b"))
 
+def variants(lines: DataFrame, unit: str) -> DataFrame:
+    """key, kind, at (the piece's place) and the line's place, for all edits of one unit that flags allow.
 
-def substring_rows(lines: DataFrame) -> DataFrame:
-    """key, a and n_a: all strings of each line that parts of a longer or equally long line may equal."""
-    n = F.col("n")
-    longest = n + F.least(F.lit(MAX_EDITS), F.floor(n / (MAX_EDIT_SHARE - 1)).cast("int") + 1)
-    rows = lines.select(F.col("id").alias("a"), "line", "n", F.explode(F.array_distinct(F.array(part_chars(n), part_chars(longest)))).alias("q")).where("n >= q")
-    # in blocks, as a substring is found by walking from the start of its text
-    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0), n - F.col("q"), F.lit(BLOCK_CHARS))))
-    rows = rows.select("a", "n", "q", "first", F.col("line").substr(F.col("first") + 1, F.lit(BLOCK_CHARS - 1) + F.col("q")).alias("block"), length_class(n).alias("kind"))
-    keys = F.transform(F.sequence(F.lit(0), F.length("block") - F.col("q")), lambda i: part_key(F.col("block").substr(i + 1, F.col("q")), F.col("kind"), F.floor((F.col("first") + i) / _step(F.col("kind"))).cast("int")))
-    return rows.select(F.explode(F.array_distinct(keys)).alias("key"), "a", F.col("n").alias("n_a"))
+    A piece's hash holds its place, counted from the start before the edit and from the end behind it;
+    running exclusive ors of them give each variant's key in one step.
+    """
+    here = {(k, s): F.col("flags").bitwiseAND(flag(unit, k, s)) > 0 for k in KINDS for s in SIDES}
+    mine = lines.where(F.col("flags").bitwiseAND(sum(flag(unit, k, s) for k in KINDS for s in SIDES)) > 0)
+    rows = mine.select(*PLACE, "flags", "line", F.size(pieces(F.col("line"), unit)).alias("n"), F.posexplode(pieces(F.col("line"), unit)).alias("i", "piece"))
+    i, n = F.col("i"), F.col("n")
+    rows = rows.select(*PLACE, "flags", "n", "i", removable(F.col("piece"), F.col("line"), unit).alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
+    line = Window.partitionBy(*PLACE).orderBy("i")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*PLACE)
+    rows = rows.withColumn("head", F.coalesce(F.bit_xor("f").over(before), F.lit(0))).withColumn("tail", F.bit_xor("b").over(whole).bitwiseXOR(F.coalesce(F.bit_xor("b").over(before), F.lit(0))))
+    rows = rows.withColumn("total", F.bit_xor("f").over(whole))
+    h, longer_h = half(n), half(n - 1)
 
+    def variant(kind: str, code: Column, at: Column, length: Column, where: Column) -> Column:
+        tag = F.lit(f"{unit} {'replace' if kind == 'replace' else 'gap'}")
+        return F.when(where, F.struct(F.xxhash64(tag, code, at, length).alias("key"), F.lit(kind).alias("kind"), at.alias("at")))
 
-def near_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (id, other) of lines within the bound; other is the earlier one."""
-    later, first = (lines.select(F.col("id").alias(i), F.struct("doc_id", "line_no").alias(f"{i}_at"), F.col("line").alias(t)) for i, t in (("id", "line"), ("other", "first_line")))
-    both = pairs.join(later, "id").join(first, "other").where("id_at > other_at")
-    bound = edit_bound(F.col("line"), F.col("first_line"))
-    # a negative distance says that the bound is exceeded; lengths that differ too much are not compared
-    near = (F.abs(F.length("line") - F.length("first_line")) <= bound) & F.expr(f"levenshtein(line, first_line, {MAX_EDITS})").between(F.lit(0), bound)
-    return both.where(near).select("id", "other")
+    made = F.array(
+        variant("replace", F.col("total").bitwiseXOR(F.col("f")), i, n, F.col("free") & (here["replace", "first"] & (i >= h) | here["replace", "last"] & (i < n - h))),
+        variant("without", F.col("head").bitwiseXOR(F.col("tail").bitwiseXOR(F.col("b"))), i, n - 1, F.col("free") & (here["without", "first"] & (i >= longer_h) | here["without", "last"] & (i < n - longer_h))),
+        variant("gap", F.col("head").bitwiseXOR(F.col("tail")), i, n, here["gap", "first"] & (i >= h) | here["gap", "last"] & (i <= n - h)),
+        variant("gap", F.col("total"), n, n, (i == n - 1) & here["gap", "first"]),
+    )
+    return rows.select(*PLACE, F.explode(F.filter(made, lambda v: v.isNotNull())).alias("v")).select("v.*", F.struct(*PLACE).alias("place"))
+
+
+def earliest_partners(found: DataFrame) -> DataFrame:
+    """place, other (an earlier place one edit away), kind and at, for every line that has such a place."""
+    firsts = [F.min(F.when(F.col("kind") == k, F.col("place"))).alias(k) for k in KINDS]
+    keys = written(found.groupBy("key").agg(F.count("*").alias("many"), *firsts).where("many > 1").drop("many"), "line-keys")
+    other = F.when(F.col("kind") == "replace", F.col("replace")).when(F.col("kind") == "gap", F.col("without")).otherwise(F.col("gap"))
+    met = found.join(keys, "key").select("place", other.alias("other"), "kind", "at").where("other < place")
+    return met.groupBy("place").agg(F.min(F.struct("other", "kind", "at")).alias("e")).select("place", "e.*")
+
+
+def verified(partners: DataFrame, lines: DataFrame, unit: str) -> DataFrame:
+    """The places whose line is one edit, of the kind found, from the partner's."""
+    text = lines.select(F.struct(*PLACE).alias("place"), "line")
+    both = partners.join(text, "place").join(text.select(F.col("place").alias("other"), F.col("line").alias("first_line")), "other")
+    w, v, at, rest = F.col("w"), F.col("v"), F.col("at"), F.lit(2**31 - 1)
+    both = both.select("place", "kind", "at", pieces(F.col("line"), unit).alias("w"), pieces(F.col("first_line"), unit).alias("v"))
+    mine = at + F.when(F.col("kind") == "gap", 1).otherwise(2)
+    other = at + F.when(F.col("kind") == "without", 1).otherwise(2)
+    same = (F.slice(w, F.lit(1), at) == F.slice(v, F.lit(1), at)) & (F.slice(w, mine, rest) == F.slice(v, other, rest))
+    return both.where(same).select("place.*")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and the ascending numbers (from 0) of its lines that have an earlier near copy."""
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.size(tokens(F.col("line"))) >= MIN_WORDS).select("doc_id", "line_no", plain_line(F.col("line")).alias("line"))
-    hashed = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
-    different = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("line").alias("line"))
-    # numbered after the sort, so that numbers rise with places
-    different = different.select("h1", "h2", "at.doc_id", "at.line_no", "line").orderBy("doc_id", "line_no")
-    different = written(different.select(F.monotonically_increasing_id().alias("id"), "*", F.length("line").alias("n")), "line-different")
-    equal = hashed.drop("line").join(different.select("h1", "h2", F.struct("doc_id", "line_no").alias("at")), ["h1", "h2"]).where(F.struct("doc_id", "line_no") > F.col("at")).select("doc_id", "line_no")
-
-    segments = F.filter(F.split("line", r"[.!?]+ ?"), lambda s: s != "")
-    variants = written(different.select("id", segments.alias("segments")).select("id", F.explode(variant_keys(F.col("segments"))).alias("key")), "line-variants")
-    earliest = written(variants.groupBy("key").agg(F.min("id").alias("other"), F.count("*").alias("many")).where("many > 1").select("key", "other"), "line-earliest")
-    pairs = written(variants.join(earliest, "key").where("id > other").select("id", "other").distinct(), "line-pairs")
-    closed = written(near_pairs(pairs, different).select("id").distinct(), "line-closed")
-
-    marked = written(different.join(closed.withColumn("closed", F.lit(True)), "id", "left").select("id", "line", "n", F.coalesce("closed", F.lit(False)).alias("closed")), "line-marked")
-    still = marked.where("NOT closed").select("id", "line", "n")
-    is_longer_later = "b > a"
-    fits = (F.col("n_b") >= F.col("n_a")) & (F.col("n_b") - F.col("n_a") <= edits(F.col("n_b"))) & (F.col("a") != F.col("b"))
-    found = [
-        part_rows(marked).join(substring_rows(still), "key").where(fits & ~F.expr(is_longer_later)),
-        part_rows(still).join(substring_rows(marked), "key").where(fits & F.expr(is_longer_later)),
-    ]
-    others = found[0].select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(found[1].select(F.col("b").alias("id"), F.col("a").alias("other")))
-    rest = near_pairs(written(others.distinct(), "line-others"), different).select("id").distinct()
-    near = closed.unionByName(rest).join(different, "id").select("doc_id", "line_no")
-    return equal.unionByName(near).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    """doc_id, tie (the text's hash) and the ascending numbers (from 0) of its lines that have an earlier near copy."""
+    texts = texts_of(docs)
+    hashed, different = different_lines(texts)
+    different = written(different, "line-different")
+    copied = different.where("many > 1").select("h1", "h2", F.struct(*PLACE).alias("first_at"))
+    equal = hashed.drop("keys").join(copied, ["h1", "h2"]).where(F.struct(*PLACE) > F.col("first_at")).select(*PLACE)
+
+    asked = written(possible_edits(different), "line-asked")
+    split = F.split("text", "\n")
+    lines = texts.join(asked, ["doc_id", "tie"]).select("doc_id", "tie", F.explode(F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["flags"].alias("flags"), F.get(split, x["line_no"]).alias("line")))).alias("l"))
+    # rows that repeat doc_id and text are one place
+    lines = written(lines.select("doc_id", "tie", "l.line_no", "l.flags", plain_line(F.col("l.line")).alias("line")).dropDuplicates(PLACE), "line-texts")
+    gone = equal
+    for unit in UNITS:
+        partners = earliest_partners(written(variants(lines, unit), f"line-variants-{unit}"))
+        gone = gone.unionByName(verified(partners, lines, unit))
+    out = written(gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "line-removed")
+    discard(hashed, different, asked, lines)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs without removed lines, and the columns n_lines and n_removed in front of theirs."""
     columns = docs.columns
-    marked = docs.select(F.struct(*columns).alias("row"), F.col("doc_id")).join(removed_lines(docs), "doc_id", "left")
+    keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
+    marked = keyed.join(removed_lines(docs), ["doc_id", "tie"], "left")
     split = F.split("row.text", "\n")
     kept = F.array_join(F.filter(split, lambda l, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
