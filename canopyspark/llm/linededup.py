@@ -51,9 +51,9 @@ def pieces(plain: Column, unit: str) -> Column:
     return F.split(plain, " ") if unit == "words" else sentences(plain)
 
 
-def removable(piece: Column, line: Column, unit: str) -> Column:
-    """Whether the edit bound lets this piece of the line go."""
-    return F.lit(True) if unit == "words" else MAX_SENTENCE_SHARE * F.length(piece) <= F.length(line)
+def removable(piece: Column, chars: Column, unit: str) -> Column:
+    """Whether the edit bound lets this piece of a line of so many characters go."""
+    return F.lit(True) if unit == "words" else MAX_SENTENCE_SHARE * F.length(piece) <= chars
 
 
 def half(shorter: Column) -> Column:
@@ -86,7 +86,7 @@ def different_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select(*PLACE, tokens(F.lower("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
     lines = lines.select(*PLACE, "w", F.array_join("w", " ").alias("line")).select("*", sentences(F.col("line")).alias("s"))
-    short = F.exists("s", lambda x: removable(x, F.col("line"), "sentences"))
+    short = F.exists("s", lambda x: removable(x, F.length("line"), "sentences"))
     keys = F.array(*half_keys(F.col("w"), "words", F.lit(True)), *half_keys(F.col("s"), "sentences", short))
     hashed = written(lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys")), "line-hashes")
     # equal lines have equal keys
@@ -118,9 +118,11 @@ def variants(lines: DataFrame, unit: str) -> DataFrame:
     """
     here = {(k, s): F.col("flags").bitwiseAND(flag(unit, k, s)) > 0 for k in KINDS for s in SIDES}
     mine = lines.where(F.col("flags").bitwiseAND(sum(flag(unit, k, s) for k in KINDS for s in SIDES)) > 0)
-    rows = mine.select(*PLACE, "flags", "line", F.size(pieces(F.col("line"), unit)).alias("n"), F.posexplode(pieces(F.col("line"), unit)).alias("i", "piece"))
+    # sizes are taken before the line is cut, so that no piece carries its line
+    cut = mine.select(*PLACE, "flags", F.length("line").alias("chars"), pieces(F.col("line"), unit).alias("pieces"))
+    rows = cut.select(*PLACE, "flags", "chars", F.size("pieces").alias("n"), "pieces").select(*PLACE, "flags", "chars", "n", F.posexplode("pieces").alias("i", "piece"))
     i, n = F.col("i"), F.col("n")
-    rows = rows.select(*PLACE, "flags", "n", "i", removable(F.col("piece"), F.col("line"), unit).alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
+    rows = rows.select(*PLACE, "flags", "n", "i", removable(F.col("piece"), F.col("chars"), unit).alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
     line = Window.partitionBy(*PLACE).orderBy("i")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*PLACE)
