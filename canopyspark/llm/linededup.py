@@ -51,9 +51,9 @@ def pieces(plain: Column, unit: str) -> Column:
     return F.split(plain, " ") if unit == "words" else sentences(plain)
 
 
-def removable(piece: Column, chars: Column, unit: str) -> Column:
-    """Whether the edit bound lets this piece of a line of so many characters go."""
-    return F.lit(True) if unit == "words" else MAX_SENTENCE_SHARE * F.length(piece) <= chars
+def removable(sentence: Column, chars: Column) -> Column:
+    """Whether the edit bound lets this sentence of a line of so many characters go."""
+    return MAX_SENTENCE_SHARE * F.length(sentence) <= chars
 
 
 def half(shorter: Column) -> Column:
@@ -61,15 +61,15 @@ def half(shorter: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(shorter / 2).cast("int"))
 
 
-def flag(unit: str, kind: str, side: str) -> int:
-    return 1 << (UNITS.index(unit) * 6 + KINDS.index(kind) * 2 + SIDES.index(side))
+def flag(unit: int, kind: str, side: str) -> int:
+    return 1 << (unit * 6 + KINDS.index(kind) * 2 + SIDES.index(side))
 
 
 def half_keys(array: Column, unit: str, some_removable: Column) -> list[Column]:
     """Keys of the halves of a line's pieces: as a line of n pieces, first and last, and as the longer of two lines."""
 
     def key(side: str, shorter: Column) -> Column:
-        at = F.lit(1) if side == "first" else F.size(array) - half(shorter) + 1
+        at = F.lit(1) if side == "first" else F.greatest(F.lit(1), F.size(array) - half(shorter) + 1)
         return F.xxhash64(F.lit(unit + side), shorter, F.slice(array, at, half(shorter)))
 
     longer = (F.size(array) > 1) & some_removable
@@ -84,11 +84,13 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def different_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines as written rows of hashes, and the earliest place and half keys of each different one."""
     lines = texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(*PLACE, tokens(F.lower("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    lines = lines.select(*PLACE, tokens(F.lower("line")).alias("w"))
     lines = lines.select(*PLACE, "w", F.array_join("w", " ").alias("line")).select("*", sentences(F.col("line")).alias("s"))
-    short = F.exists("s", lambda x: removable(x, F.length("line"), "sentences"))
+    short = F.exists("s", lambda x: removable(x, F.length("line")))
     keys = F.array(*half_keys(F.col("w"), "words", F.lit(True)), *half_keys(F.col("s"), "sentences", short))
-    hashed = written(lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys")), "line-hashes")
+    rows = lines.select(*PLACE, F.size("w").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys"))
+    # short lines go after the write: a filter on n before it would cut each line twice
+    hashed = written(rows, "line-hashes").where(F.col("n") >= MIN_WORDS).drop("n")
     # equal lines have equal keys
     return hashed, hashed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE, "keys")).alias("at"), F.count("*").alias("many")).select("h1", "h2", "at.*", "many")
 
@@ -102,37 +104,39 @@ def possible_edits(different: DataFrame) -> DataFrame:
     met = halves.join(shared, "key")
 
     flags = F.lit(0)
-    for u, unit in enumerate(UNITS):
+    for u in range(len(UNITS)):
         for s, side in enumerate(SIDES):
-            as_equal = F.when(F.col("same") > 1, flag(unit, "replace", side)).otherwise(0) + F.when(F.col("longer") > 0, flag(unit, "gap", side)).otherwise(0)
-            flags = F.when(F.col("code") == u * 4 + s, as_equal).when(F.col("code") == u * 4 + 2 + s, flag(unit, "without", side)).otherwise(flags)
+            as_equal = F.when(F.col("same") > 1, flag(u, "replace", side)).otherwise(0) + F.when(F.col("longer") > 0, flag(u, "gap", side)).otherwise(0)
+            flags = F.when(F.col("code") == u * 4 + s, as_equal).when(F.col("code") == u * 4 + 2 + s, flag(u, "without", side)).otherwise(flags)
     per_line = met.groupBy(*PLACE).agg(F.bit_or(flags).alias("flags"))
     return per_line.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "flags")).alias("lines"))
 
 
-def variants(lines: DataFrame, unit: str) -> DataFrame:
-    """key, kind, at (the piece's place) and the line's place, for all edits of one unit that flags allow.
+def variants(lines: DataFrame) -> DataFrame:
+    """key, unit, kind, at (the piece's place) and the line's place, for all edits that flags allow.
 
     A piece's hash holds its place, counted from the start before the edit and from the end behind it;
     running exclusive ors of them give each variant's key in one step.
     """
-    here = {(k, s): F.col("flags").bitwiseAND(flag(unit, k, s)) > 0 for k in KINDS for s in SIDES}
-    mine = lines.where(F.col("flags").bitwiseAND(sum(flag(unit, k, s) for k in KINDS for s in SIDES)) > 0)
     # sizes are taken before the line is cut, so that no piece carries its line
-    cut = mine.select(*PLACE, "flags", F.length("line").alias("chars"), pieces(F.col("line"), unit).alias("pieces"))
-    rows = cut.select(*PLACE, "flags", "chars", F.size("pieces").alias("n"), "pieces").select(*PLACE, "flags", "chars", "n", F.posexplode("pieces").alias("i", "piece"))
+    cuts = F.array(*[F.struct(F.lit(u).alias("unit"), pieces(F.col("line"), unit).alias("pieces")) for u, unit in enumerate(UNITS)])
+    wanted = F.filter(cuts, lambda c: F.col("flags").bitwiseAND(F.when(c["unit"] == 0, 63).otherwise(63 << 6)) > 0)
+    cut = lines.select(*PLACE, "flags", F.length("line").alias("chars"), F.explode(wanted).alias("c"))
+    cut = cut.select(*PLACE, F.when(F.col("c.unit") == 0, F.col("flags")).otherwise(F.shiftright("flags", 6)).alias("flags"), "chars", "c.unit", F.size("c.pieces").alias("n"), "c.pieces")
+    rows = cut.select(*PLACE, "flags", "chars", "unit", "n", F.posexplode("pieces").alias("i", "piece"))
     i, n = F.col("i"), F.col("n")
-    rows = rows.select(*PLACE, "flags", "n", "i", removable(F.col("piece"), F.col("chars"), unit).alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
-    line = Window.partitionBy(*PLACE).orderBy("i")
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*PLACE)
+    free = (F.col("unit") == 0) | removable(F.col("piece"), F.col("chars"))
+    rows = rows.select(*PLACE, "flags", "unit", "n", "i", free.alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
+    whole = Window.partitionBy(*PLACE, "unit")
+    before = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("head", F.coalesce(F.bit_xor("f").over(before), F.lit(0))).withColumn("tail", F.bit_xor("b").over(whole).bitwiseXOR(F.coalesce(F.bit_xor("b").over(before), F.lit(0))))
     rows = rows.withColumn("total", F.bit_xor("f").over(whole))
     h, longer_h = half(n), half(n - 1)
+    here = {(k, s): F.col("flags").bitwiseAND(flag(0, k, s)) > 0 for k in KINDS for s in SIDES}
 
     def variant(kind: str, code: Column, at: Column, length: Column, where: Column) -> Column:
-        tag = F.lit(f"{unit} {'replace' if kind == 'replace' else 'gap'}")
-        return F.when(where, F.struct(F.xxhash64(tag, code, at, length).alias("key"), F.lit(kind).alias("kind"), at.alias("at")))
+        key = F.xxhash64(F.lit("replace" if kind == "replace" else "gap"), "unit", code, at, length)
+        return F.when(where, F.struct(key.alias("key"), F.lit(kind).alias("kind"), at.alias("at")))
 
     made = F.array(
         variant("replace", F.col("total").bitwiseXOR(F.col("f")), i, n, F.col("free") & (here["replace", "first"] & (i >= h) | here["replace", "last"] & (i < n - h))),
@@ -140,24 +144,25 @@ def variants(lines: DataFrame, unit: str) -> DataFrame:
         variant("gap", F.col("head").bitwiseXOR(F.col("tail")), i, n, here["gap", "first"] & (i >= h) | here["gap", "last"] & (i <= n - h)),
         variant("gap", F.col("total"), n, n, (i == n - 1) & here["gap", "first"]),
     )
-    return rows.select(*PLACE, F.explode(F.filter(made, lambda v: v.isNotNull())).alias("v")).select("v.*", F.struct(*PLACE).alias("place"))
+    return rows.select(*PLACE, "unit", F.explode(F.filter(made, lambda v: v.isNotNull())).alias("v")).select("v.*", "unit", F.struct(*PLACE).alias("place"))
 
 
 def earliest_partners(found: DataFrame) -> DataFrame:
-    """place, other (an earlier place one edit away), kind and at, for every line that has such a place."""
+    """place, other (an earlier place one edit away), unit, kind and at, for every line that has such a place."""
     firsts = [F.min(F.when(F.col("kind") == k, F.col("place"))).alias(k) for k in KINDS]
     keys = written(found.groupBy("key").agg(F.count("*").alias("many"), *firsts).where("many > 1").drop("many"), "line-keys")
     other = F.when(F.col("kind") == "replace", F.col("replace")).when(F.col("kind") == "gap", F.col("without")).otherwise(F.col("gap"))
-    met = found.join(keys, "key").select("place", other.alias("other"), "kind", "at").where("other < place")
-    return met.groupBy("place").agg(F.min(F.struct("other", "kind", "at")).alias("e")).select("place", "e.*")
+    met = found.join(keys, "key").select("place", other.alias("other"), "unit", "kind", "at").where("other < place")
+    return met.groupBy("place").agg(F.min(F.struct("other", "unit", "kind", "at")).alias("e")).select("place", "e.*")
 
 
-def verified(partners: DataFrame, lines: DataFrame, unit: str) -> DataFrame:
+def verified(partners: DataFrame, lines: DataFrame) -> DataFrame:
     """The places whose line is one edit, of the kind found, from the partner's."""
     text = lines.select(F.struct(*PLACE).alias("place"), "line")
     both = partners.join(text, "place").join(text.select(F.col("place").alias("other"), F.col("line").alias("first_line")), "other")
     w, v, at, rest = F.col("w"), F.col("v"), F.col("at"), F.lit(2**31 - 1)
-    both = both.select("place", "kind", "at", pieces(F.col("line"), unit).alias("w"), pieces(F.col("first_line"), unit).alias("v"))
+    cut = [F.when(F.col("unit") == 0, pieces(F.col(c), UNITS[0])).otherwise(pieces(F.col(c), UNITS[1])) for c in ("line", "first_line")]
+    both = both.select("place", "kind", "at", cut[0].alias("w"), cut[1].alias("v"))
     mine = at + F.when(F.col("kind") == "gap", 1).otherwise(2)
     other = at + F.when(F.col("kind") == "without", 1).otherwise(2)
     same = (F.slice(w, F.lit(1), at) == F.slice(v, F.lit(1), at)) & (F.slice(w, mine, rest) == F.slice(v, other, rest))
@@ -177,12 +182,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = texts.join(asked, ["doc_id", "tie"]).select("doc_id", "tie", F.explode(F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["flags"].alias("flags"), F.get(split, x["line_no"]).alias("line")))).alias("l"))
     # rows that repeat doc_id and text are one place
     lines = written(lines.select("doc_id", "tie", "l.line_no", "l.flags", plain_line(F.col("l.line")).alias("line")).dropDuplicates(PLACE), "line-texts")
-    gone = equal
-    for unit in UNITS:
-        partners = earliest_partners(written(variants(lines, unit), f"line-variants-{unit}"))
-        gone = gone.unionByName(verified(partners, lines, unit))
+    found = written(variants(lines), "line-variants")
+    gone = equal.unionByName(verified(earliest_partners(found), lines))
     out = written(gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "line-removed")
-    discard(hashed, different, asked, lines)
+    discard(hashed, different, asked, lines, found)
     return out
 
 
