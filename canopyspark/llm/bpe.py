@@ -6,8 +6,8 @@ ascending order; one step merges all occurrences of the rank's pair at once and
 this makes to their ranks' position lists. A merge only makes pairs of higher rank (they hold the
 token just made), so one ascending pass gives what merging word by word gives.
 
-Words repeat, so each word's ids are kept in a bounded cache per task and texts are assembled
-from them by array lookups. No shuffle: texts are encoded where they are read.
+Words repeat, so each word's ids are kept in a bounded cache per worker process and texts are
+assembled from them by array lookups. No shuffle: texts are encoded where they are read.
 
 Defined results: null or empty text has no ids and decodes to the empty text; a special token's
 string in a text becomes that token's id, as the tokenizers library does by default; repeated rows
@@ -22,7 +22,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +36,7 @@ from canopyspark.llm.common import table
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed by the tokenizer: how text is split before the merges; \s as the Unicode property.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 600_000
 CHUNK_CHARS = 1 << 21
 _NONE = np.int64(1 << 40)
 
@@ -187,8 +187,8 @@ class _Numbers(dict):
 class WordCache:
     """Ids by word. encode_words(words) gives flat ids and counts for unseen words."""
 
-    def __init__(self, encode_words):
-        self.encode_words = encode_words
+    def __init__(self, encode_words, limit: int):
+        self.encode_words, self.limit = encode_words, limit
         self.clear()
 
     def clear(self) -> None:
@@ -197,10 +197,18 @@ class WordCache:
         self.count = np.empty(0, np.int64)
         self.flat = np.empty(0, np.int32)
 
+    def shrink(self) -> None:
+        """Keep the older half: frequent words are met early."""
+        keep = self.limit // 2
+        numbers = _Numbers()
+        numbers.update(islice(self.numbers.items(), keep))
+        self.numbers, self.start, self.count = numbers, self.start[:keep].copy(), self.count[:keep].copy()
+        self.flat = self.flat[: int(self.count.sum())].copy()
+
     def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a list of texts given as words, and the number of ids of each text."""
-        if len(self.numbers) > MAX_CACHED_WORDS:
-            self.clear()
+        if len(self.numbers) > self.limit:
+            self.shrink()
         per_text = np.array([len(t) for t in words], np.int64)
         number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(per_text.sum()))
         if unseen := self.numbers.new:
@@ -227,13 +235,22 @@ def _unlike() -> frozenset[str]:
 
 #: SPLIT in the terms of re, which is twice as fast; for texts without _unlike characters.
 QUICK_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: A space before something that is no white space always starts a word of SPLIT.
+SPACES = re.compile(r" \s")
 
 
 class Encoder:
-    """Texts to ids. words: list of words to (flat ids, counts); specials: their strings."""
+    """Texts to ids. encode_words: list of words to (flat ids, counts); specials: their strings.
+
+    A text is cut at its spaces, which is many times faster than by SPLIT; each different piece is then
+    split into words once. Where white space follows a space, or a special token occurs, the text is
+    split into words itself. Keys of the cache: a piece with a space before it as it is, a text's first
+    piece after one space, a word after two.
+    """
 
-    def __init__(self, encode_words, specials):
-        self.cache = WordCache(encode_words)
+    def __init__(self, encode_words, specials, limit: int = MAX_CACHED_WORDS):
+        self.encode_words = encode_words
+        self.cache = WordCache(self.encode_keys, limit)
         self.exact = regex.compile(SPLIT)
         self.unlike = _unlike()
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")") if specials else None
@@ -242,15 +259,44 @@ class Encoder:
     def plain(self, text: str) -> list[str]:
         return (QUICK_SPLIT if self.unlike.isdisjoint(text) else self.exact).findall(text)
 
-    def words(self, text: str | None) -> list[str]:
+    def keys(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if self.special is None or not any(s in text for s in self.starts):
-            return self.plain(text)
-        return [w for part in self.special.split(text) for w in ([part] if part in self.starts else self.plain(part))]
+        if self.special is not None and any(s in text for s in self.starts):
+            words = [w for part in self.special.split(text) for w in ([part] if part in self.starts else self.plain(part))]
+            return ["  " + w for w in words]
+        if SPACES.search(text):
+            return ["  " + w for w in self.plain(text)]
+        found = text.split(" ")
+        found[0] = " " + found[0]
+        return found
+
+    def encode_keys(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # letters alone are one word
+        words = [[" " + k] if k.isalpha() else [k[2:]] if k.startswith("  ") else self.plain(k[1:] if k.startswith(" ") else " " + k) for k in keys]
+        numbers = _Numbers()
+        per_key = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(per_key.sum()))
+        flat, counts = self.encode_words(numbers.new)
+        own = counts[number]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        ends = np.cumsum(per_key)
+        return gather(flat, (np.cumsum(counts) - counts)[number], own), upto[ends] - upto[ends - per_key]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.ids([self.words(t) for t in texts])
+        return self.cache.ids([self.keys(t) for t in texts])
+
+
+@functools.cache
+def vocabulary(path: str) -> Vocabulary:
+    """One a worker process."""
+    return Vocabulary(path)
+
+
+@functools.cache
+def shared_encoder(path: str) -> Encoder:
+    """One a worker process, so that its tasks share the words they have seen."""
+    return bpe_encoder(vocabulary(path))
 
 
 def bpe_encoder(vocab: Vocabulary) -> Encoder:
@@ -294,8 +340,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     name = path or public_tokenizers.path(TOKENIZER)
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(name)
-        encoder = bpe_encoder(vocab)
+        vocab, encoder = vocabulary(name), shared_encoder(name)
         for batch in batches:
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for texts in runs(batch["text"].to_pylist()):

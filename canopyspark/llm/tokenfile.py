@@ -17,8 +17,10 @@ are separate documents, in the order of their text; an empty table gives an empt
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopyspark.llm.bpe import TOKENIZER, Encoder, gather, runs
+from canopyspark.llm.bpe import TOKENIZER, Encoder, byte_letters, runs
 from canopyspark.llm.common import shared_dir, table
 
 MAGIC = b"TOKSEG01"
 END_ID = 0
-BLOCK = 1024
-LIBRARY_WORDS = 4096
+#: A multiple of nearly all of PER_WORD.
+BLOCK = 240
 #: Ids per word by selector; 60 // n bits each. Selector 15 is the escape.
 PER_WORD = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 ESCAPE = 15
@@ -47,10 +49,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     at = np.arange(n)
     left = np.minimum(BLOCK - at % BLOCK, n - at)  # ids from here to the block's end
-    best = np.full(n, ESCAPE, np.int64)
+    best = np.full(n, ESCAPE, np.int8)
+    # bits of each id; ids from 2**53 on may count as one bit more
+    bits = np.frexp(ids.astype(float))[1].astype(np.int8)
     for selector in range(len(PER_WORD) - 1, -1, -1):
         count = int(PER_WORD[selector])
-        small = np.flatnonzero(ids < (np.uint64(1) << np.uint64(60 // count)))
+        small = np.flatnonzero(bits <= 60 // count)
         runs_on = small[: len(small) - count + 1] if len(small) >= count else small[:0]
         runs_on = runs_on[small[count - 1 :][: len(runs_on)] - runs_on == count - 1]
         best[runs_on[left[runs_on] >= count]] = selector
@@ -131,21 +135,24 @@ def read_segment(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, unpack(packed, offsets.astype(np.int64), n)
 
 
+@functools.cache
 def library_encoder(path: str) -> Encoder:
-    """Words are encoded by the tokenizers library; a text's words are looked up after that."""
+    """Words are encoded by the tokenizers library's model; a text's words are looked up after that.
+
+    One encoder a worker process, so that its tasks share the words they have seen.
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    specials = [t.content for t in library.get_added_tokens_decoder().values()]
+    specials = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    letters = str.maketrans({b: letter for letter, b in byte_letters().items()})
+    model = library.model.tokenize
 
     def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, counts = [], []
-        for at in range(0, len(words), LIBRARY_WORDS):  # the library's results hold far more than ids
-            some = words[at : at + LIBRARY_WORDS]
-            found = library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(found.ids, np.int64))
-            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
-        return np.concatenate(flat), np.concatenate(counts)
+        # the model takes a word's bytes as the letters that stand for them
+        found = [[specials[w]] if w in specials else [t.id for t in model(w.encode("utf-8", "replace").decode("latin-1").translate(letters))] for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
     return Encoder(encode_words, specials)
 
