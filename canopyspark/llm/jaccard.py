@@ -39,7 +39,7 @@ from canopyspark.operators.components import connected_components
 
 NGRAM = 5
 MIN_PERCENT = 80
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 20
 CHUNK_DOCS = 1 << 16
 FRAGMENT_GRAMS = 2 << 20
 PARTIAL_FRAGMENTS = 4
@@ -62,7 +62,7 @@ def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
-    return np.multiply.accumulate(out)
+    return np.multiply.accumulate(out, out=out)
 
 
 def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +72,19 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     """
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    joined = b" ".join(raw) + b" "
+    data = np.frombuffer(joined.lower() if lower else joined, np.uint8)  # bytes.lower() knows A-Z only
+    del raw, joined
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODE[data] * powers(_R, len(data)), dtype=np.uint64)])
+    total = np.zeros(len(data) + 1, np.uint64)
+    power = powers(_R, len(data))
+    power *= _BYTE_CODE[data]
+    np.cumsum(power, out=total[1:])
+    del power
     code = (total[end] - total[start]) * powers(_R_INVERSE, len(data) + 1)[start]
+    del total
     firsts = np.cumsum(sizes + 1) - (sizes + 1)
     counts = np.diff(np.append(np.searchsorted(start, firsts), len(start)))
     return mix(code + (end - start).astype(np.uint64)), counts
@@ -281,9 +286,20 @@ def op5_jaccard(spark, sf_dir):
 
 
 def near_copy_stage(spark, docs, sf_dir):
-    """docs without the documents whose group has a smaller doc_id. Rows without an id stay."""
-    gone = similar_groups(docs).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, that of the smallest doc_id (then text hash), with the columns of docs.
+
+    Rows are told apart by doc_id and text, so rows that share an id stay or go by their own text; of rows
+    that repeat both, one stays. Rows without an id stay and take no part.
+    """
+    columns = docs.columns
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("row_key"), F.struct(*columns).alias("row"))
+    own = rows.where("row_key.doc_id IS NOT NULL")
+    groups = similar_groups(own.select(F.col("row_key").alias("doc_id"), "row.text"))
+    drop = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("many"))
+    drop = written(drop.where("first < doc_id OR many > 1").select(F.col("doc_id").alias("row_key"), (F.col("first") < F.col("doc_id")).alias("gone")), "jaccard-drop")
+    kept = rows.join(drop.select("row_key"), "row_key", "left_anti")
+    repeated = rows.join(drop.where("NOT gone").select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
+    return kept.unionByName(repeated).select("row.*")
 
 
 ORACLE = r"""

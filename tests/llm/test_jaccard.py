@@ -84,6 +84,14 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 9, None]
 
 
+def test_stage_tells_rows_of_one_id_apart(spark):
+    a, b = "a b c d e f g", "other words that nobody else has here at all"
+    docs = spark.createDataFrame([(2, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (7, b, 5), (8, "", 6), (8, "", 7)], "doc_id long, text string, row_key int")
+    kept = jaccard.near_copy_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, a), (5, b), (8, "")]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 11, 100])
 def test_prefix_length(n):
     assert jaccard.prefix_length(n) == n - -(-8 * n // 10) + 1
