@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, prefix: str) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/canopyspark-checkpoints"
-    path = f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from canopyspark.operators.scratch import discard, written
 
 
 def _stars(pairs: DataFrame) -> bool:
@@ -31,10 +23,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     knows, until the graph is a set of stars around component minima. The minimum is aggregated with
     map-side combine, so a node with very many edges is no hot group. Rounds grow with the logarithm
     of the node count; each is written to the shared folder, which cuts the lineage.
-    Null ends and self loops are ignored; no edges give no rows.
+    Null ends and self loops are ignored; no edges give no rows. The rounds run when this is called.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v"))
-    now = _written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
+    now = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     while not _stars(now):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -42,6 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = _written(small.where("u <> v").distinct(), "components")
+        old, now = now, written(small.where("u <> v").distinct(), "components")
+        discard(old)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
