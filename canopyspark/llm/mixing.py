@@ -10,7 +10,8 @@ with a third of all rows therefore never meets in one task.
 
 Defined results: null or blank text has size 0 and takes 0; a null source is a source of its own
 and sorts last; repeated rows are mixed as separate rows; an empty table gives an empty result;
-a null doc_id draws the key of the text "null"; equal keys are ordered by doc_id.
+a row with a null doc_id draws by its text; equal keys are ordered by doc_id, size and text hash, so
+reruns agree whatever the partitioning. Slice sums are written when mix_sources is called.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import table, word_count, written
+from canopyspark.llm.common import table, tokens, word_count, written
 
 #: Fixed by the result contract: weights by source rank, repeating, and the cap on repeats.
 WEIGHTS = (5, 2, 1)
@@ -34,9 +35,10 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.lit(10.0) * F.try_divide(symbols, length)), F.lit(1.0))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A fixed draw from (0, 1) per document, the same on every run."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A fixed draw from (0, 1) per document, the same on every run; by the text where the id is null."""
+    by_text = F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), by_text)))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -67,15 +69,16 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, cap: flo
     slices = max(1, -(-docs.count() // SLICE_ROWS))
     text = F.col("text")
     rate = quality_weight(text) if weight is None else weight
-    kept = docs.select(F.col("doc_id"), F.col("source"), word_count(text).alias("size"), rate.alias("rate"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    keyed = kept.withColumn("sample_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("rate")).withColumn("source_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")))
-    sliced = keyed.withColumn("slice", F.least(F.lit(slices - 1), F.floor(F.lit(slices) * (1 - F.exp(-F.col("sample_key"))))).cast("long"))
+    kept = docs.select(F.col("doc_id"), F.col("source"), word_count(text).alias("size"), rate.alias("rate"), uniform(F.col("doc_id"), text, seed).alias("draw"), F.xxhash64("text").alias("tie"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    keyed = kept.withColumn("sample_key", -F.log("draw") / F.col("rate")).withColumn("source_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")))
+    # k / (1 + k) rises with k; for rates from 1/11 to 1 no slice gets over 7 times the mean
+    sliced = keyed.withColumn("slice", F.least(F.lit(slices - 1), F.floor(F.lit(slices) * F.col("sample_key") / (1 + F.col("sample_key")))).cast("long"))
     sums = written(sliced.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source")), "mixing-slices")
     upto = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sums.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size"))
     targets = source_targets(sizes, weights, cap).drop("source")
     offsets = sums.select("source_key", "slice", F.coalesce(F.sum("slice_size").over(upto), F.lit(0)).alias("offset")).join(targets, "source_key")
-    run = Window.partitionBy("source_key", "slice").orderBy("sample_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source_key", "slice").orderBy("sample_key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.join(offsets, ["source_key", "slice"]).withColumn("ahead", F.col("offset") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     budget = F.round("target").cast("long")
     epochs = F.coalesce(F.expr("try_divide(cast(round(target) as long), source_size)"), F.lit(0.0)).cast("long")
@@ -95,13 +98,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.coalesce(F.try_divide("taken", "size"), F.lit(0.0)).cast("int")
     rest = F.col("taken") - whole * F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    rows = plan.select(F.explode(copies).alias("cut"), "whole_row").select("cut", "whole_row.*")
-    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("cut") > 0, F.array_join(F.slice(split, 1, F.greatest(F.col("cut"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("cut") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    whole_text = F.col("whole_row.text")
+    head = F.array_join(F.slice(tokens(whole_text), 1, F.greatest(F.col("cut"), F.lit(1)).cast("int")), " ")
+    rows = plan.select(F.explode(copies).alias("cut"), "whole_row").select("cut", "whole_row", F.when(F.col("cut") > 0, head).otherwise(whole_text).alias("new_text"))
+    new = {"text": F.col("new_text"), "n_chars": F.when(F.col("cut") > 0, F.length("new_text").cast("long")).otherwise(F.col("whole_row.n_chars")) if "n_chars" in columns else None}
+    return rows.select(*[new.get(c, F.col(f"whole_row.`{c}`")).alias(c) for c in columns])
 
 
 def op6_mixing(spark, sf_dir):
@@ -112,7 +113,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     coalesce(1.0::DOUBLE / (1.0::DOUBLE + 10.0::DOUBLE * ((length(text)::DOUBLE - length(translate(text, '#*$%&|<>', ''))::DOUBLE) / nullif(length(text)::DOUBLE, 0))), 1.0::DOUBLE) AS rate,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / rate AS sample_key, coalesce(sum(size) OVER (PARTITION BY source ORDER BY -ln(u) / rate, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (3.0::DOUBLE * sum(size)) AS ceiling FROM d GROUP BY source),

@@ -28,3 +28,28 @@ def test_odd_rows(spark, tmp_path):
     got = run(spark, tmp_path / "odd", [(1, None, None), (2, "", "a"), (3, "one two", "a"), (4, "x " * 50000, "b")])
     assert [r[1] for r in got] == [0, 0, 2, 50000] and got[0][4] == 0
     assert run(spark, tmp_path / "none", []) == []
+
+
+def test_reruns_agree_with_ties_and_clashing_names(spark):
+    texts = ["one two three", "one two three four", "five", None, "six seven"]
+    rows = [(None, texts[i % 5], "ab"[i % 2], i) for i in range(40)] + [(7, t, "a", 1) for t in texts] * 2 + [(i, "x y z", "c", 2) for i in range(50)]
+    schema = "doc_id long, text string, source string, cut int"
+    found = []
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        mixed = mixing.mixed_documents(docs)
+        assert mixed.columns == docs.columns
+        plan = sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
+        found.append((plan, sorted((str(r.doc_id), str(r.text)) for r in mixed.collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_mixed_rows_hold_the_words_taken(spark):
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(1 + i % 9)), "abc"[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    words = dict.fromkeys(taken, 0)
+    for r in mixing.mixed_documents(docs).collect():
+        assert rows[r.doc_id][1].startswith(r.text)
+        words[r.doc_id] += len(r.text.split())
+    assert words == taken
