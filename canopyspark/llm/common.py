@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyspark.operators.scratch import checkpoint_root, discard, shared_dir, written  # noqa: F401  for the operators
+
 #: Fixed by the result contracts: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,33 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, prefix: str) -> str:
-    """A fresh folder below the one all executors share (spark.checkpoint.dir)."""
-    return f"{checkpoint_root(spark)}/{prefix}-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else "/tmp/canopyspark-checkpoints"
-
-
-def written(df: DataFrame, prefix: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, prefix)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the folders of written frames that no later step reads."""
-    for df in frames:
-        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def tokens(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     spaced = F.coalesce(text, F.lit(""))

@@ -6,7 +6,8 @@ Each partition builds paged M-trees of bounded size over the lifted vectors: a n
 vector, a covering radius and its distance to the parent's routing vector; a leaf page keeps every
 vector's distance to the page's routing vector. A query visits nodes best first. The stored
 distances and the triangle inequality rule out children and vectors before their own distance is
-computed. Distances only prune, with slack for rounding; scores are exact whole numbers.
+computed. Distances only prune, with slack for rounding; scores are exact whole numbers, kept within
+the range of a long where squared norms reach 2 ** 62.
 
 The query set is cut into blocks; each block meets each tree once. Every tree gives a query k
 candidates at most, and a short window per query merges them.
@@ -110,6 +111,12 @@ class MTree:
                 parts.append(np.concatenate([[rows[head]], mine[mine != rows[head]]]))
         return parts
 
+    def products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self.norm2 < 2.0**62:
+            return self.vectors[rows] @ query
+        wide = [sum(x * y for x, y in zip(v, query.tolist(), strict=True)) for v in self.vectors[rows].tolist()]
+        return np.array([max(-(2**63), min(2**63 - 1, s)) for s in wide], np.int64)
+
     def search(self, query_id: int, query: np.ndarray, top: int) -> list[tuple[int, int]]:
         """The top (score, id) pairs other than query_id's own, best first, ties to the smaller id."""
         own2 = float((query.astype(float) ** 2).sum())
@@ -140,7 +147,7 @@ class MTree:
             if self.leaf[node]:
                 rows = self.order[a:b]
                 rows = rows[~hopeless(bound(np.abs(gap - self.entry_up[a:b]) - 1e-6), self.ids[rows])]
-                scores = self.vectors[rows].astype(np.int64) @ query
+                scores = self.products(rows, query)
                 if len(found) == top:
                     good = scores >= found[0][0]
                     rows, scores = rows[good], scores[good]
@@ -178,7 +185,7 @@ def top_inner_products(vectors: DataFrame, id_col: str, vector_col: str, is_quer
     # NaN and infinities are in no finite range; a null makes forall null
     finite = F.forall(F.col(vector_col), lambda x: (x.cast("double") > F.lit(float("-inf"))) & (x.cast("double") < F.lit(float("inf"))))
     valid = vectors.where(F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
-    size = valid.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)).alias("norm2"), F.count_if(is_query(F.col("id"))).alias("queries")).first()
+    size = valid.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm2"), F.count_if(is_query(F.col("id"))).alias("queries")).first()
     width, norm2 = max(1, size["width"] or 1), float(size["norm2"] or 0)
     parts = max(1, -(-size["n"] // TREE_VECTORS))
     blocks = max(1, -(-size["queries"] // QUERY_BLOCK))

@@ -35,3 +35,12 @@ def test_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
     assert [r[:2] for r in run(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0])])] == [(0, 1), (0, 2)]
+
+
+def test_large_values_and_clashing_names(spark):
+    rows = [(i, [6e5 * (i % 5), -1.5e5 * (i % 3)]) for i in range(30)]
+    assert run(spark, rows) == brute(rows)
+    frame = spark.createDataFrame([(*r, 9, 8, 7) for r in rows], "vec_id long, embedding array<float>, score int, rank int, id int")
+    assert sorted(map(tuple, top_inner_products(frame, "vec_id", "embedding", lambda i: i % 7 == 0).collect())) == brute(rows)
+    huge = run(spark, [(0, [3e38]), (1, [3e38]), (2, [-3e38]), (3, [1.0])])
+    assert [(r[2], r[3]) for r in huge] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
