@@ -44,16 +44,16 @@ def plain_line(line: Column) -> Column:
 
 
 def sentences(plain: Column) -> Column:
-    return F.split(plain, "(?<=[.!?]) ")
+    return F.split(plain, " (?<=[.!?] )")
 
 
 def pieces(plain: Column, unit: str) -> Column:
     return F.split(plain, " ") if unit == "words" else sentences(plain)
 
 
-def removable(sentence: Column, chars: Column) -> Column:
-    """Whether the edit bound lets this sentence of a line of so many characters go."""
-    return MAX_SENTENCE_SHARE * F.length(sentence) <= chars
+def removable(sentence_chars: Column, chars: Column) -> Column:
+    """Whether the edit bound lets a sentence of so many characters go from a line of so many."""
+    return MAX_SENTENCE_SHARE * sentence_chars <= chars
 
 
 def half(shorter: Column) -> Column:
@@ -86,7 +86,7 @@ def different_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select(*PLACE, tokens(F.lower("line")).alias("w"))
     lines = lines.select(*PLACE, "w", F.array_join("w", " ").alias("line")).select("*", sentences(F.col("line")).alias("s"))
-    short = F.exists("s", lambda x: removable(x, F.length("line")))
+    short = removable(F.array_min(F.transform("s", lambda x: F.length(x))), F.length("line"))
     keys = F.array(*half_keys(F.col("w"), "words", F.lit(True)), *half_keys(F.col("s"), "sentences", short))
     rows = lines.select(*PLACE, F.size("w").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys.alias("keys"))
     # short lines go after the write: a filter on n before it would cut each line twice
@@ -96,7 +96,7 @@ def different_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def possible_edits(different: DataFrame) -> DataFrame:
-    """doc_id, tie and lines (number, flags) of the lines that share a half with a line of fitting length."""
+    """id, place and flags of the lines that share a half with a line of fitting length; ids rise with places."""
     halves = different.select(*PLACE, F.posexplode("keys").alias("code", "key")).where("key IS NOT NULL")
     longer = F.col("code").bitwiseAND(2) > 0
     shared = halves.groupBy("key").agg(F.count_if(~longer).alias("same"), F.count_if(longer).alias("longer"))
@@ -109,11 +109,11 @@ def possible_edits(different: DataFrame) -> DataFrame:
             as_equal = F.when(F.col("same") > 1, flag(u, "replace", side)).otherwise(0) + F.when(F.col("longer") > 0, flag(u, "gap", side)).otherwise(0)
             flags = F.when(F.col("code") == u * 4 + s, as_equal).when(F.col("code") == u * 4 + 2 + s, flag(u, "without", side)).otherwise(flags)
     per_line = met.groupBy(*PLACE).agg(F.bit_or(flags).alias("flags"))
-    return per_line.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "flags")).alias("lines"))
+    return per_line.orderBy(*PLACE).select(F.monotonically_increasing_id().alias("id"), *PLACE, "flags")
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """key, unit, kind, at (the piece's place) and the line's place, for all edits that flags allow.
+    """key, unit, kind, at (the piece's place) and the line's id, for all edits that flags allow.
 
     A piece's hash holds its place, counted from the start before the edit and from the end behind it;
     running exclusive ors of them give each variant's key in one step.
@@ -121,13 +121,13 @@ def variants(lines: DataFrame) -> DataFrame:
     # sizes are taken before the line is cut, so that no piece carries its line
     cuts = F.array(*[F.struct(F.lit(u).alias("unit"), pieces(F.col("line"), unit).alias("pieces")) for u, unit in enumerate(UNITS)])
     wanted = F.filter(cuts, lambda c: F.col("flags").bitwiseAND(F.when(c["unit"] == 0, 63).otherwise(63 << 6)) > 0)
-    cut = lines.select(*PLACE, "flags", F.length("line").alias("chars"), F.explode(wanted).alias("c"))
-    cut = cut.select(*PLACE, F.when(F.col("c.unit") == 0, F.col("flags")).otherwise(F.shiftright("flags", 6)).alias("flags"), "chars", "c.unit", F.size("c.pieces").alias("n"), "c.pieces")
-    rows = cut.select(*PLACE, "flags", "chars", "unit", "n", F.posexplode("pieces").alias("i", "piece"))
+    cut = lines.select("id", "uid", "flags", F.length("line").alias("chars"), F.explode(wanted).alias("c"))
+    cut = cut.select("id", "uid", F.when(F.col("c.unit") == 0, F.col("flags")).otherwise(F.shiftright("flags", 6)).alias("flags"), "chars", "c.unit", F.size("c.pieces").alias("n"), "c.pieces")
+    rows = cut.select("id", "uid", "flags", "chars", "unit", "n", F.posexplode("pieces").alias("i", "piece"))
     i, n = F.col("i"), F.col("n")
-    free = (F.col("unit") == 0) | removable(F.col("piece"), F.col("chars"))
-    rows = rows.select(*PLACE, "flags", "unit", "n", "i", free.alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
-    whole = Window.partitionBy(*PLACE, "unit")
+    free = (F.col("unit") == 0) | removable(F.length("piece"), F.col("chars"))
+    rows = rows.select("id", "uid", "flags", "unit", "n", "i", free.alias("free"), F.xxhash64("piece", "i").alias("f"), F.xxhash64("piece", n - i).alias("b"))
+    whole = Window.partitionBy("uid", "unit")
     before = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("head", F.coalesce(F.bit_xor("f").over(before), F.lit(0))).withColumn("tail", F.bit_xor("b").over(whole).bitwiseXOR(F.coalesce(F.bit_xor("b").over(before), F.lit(0))))
     rows = rows.withColumn("total", F.bit_xor("f").over(whole))
@@ -144,29 +144,29 @@ def variants(lines: DataFrame) -> DataFrame:
         variant("gap", F.col("head").bitwiseXOR(F.col("tail")), i, n, here["gap", "first"] & (i >= h) | here["gap", "last"] & (i <= n - h)),
         variant("gap", F.col("total"), n, n, (i == n - 1) & here["gap", "first"]),
     )
-    return rows.select(*PLACE, "unit", F.explode(F.filter(made, lambda v: v.isNotNull())).alias("v")).select("v.*", "unit", F.struct(*PLACE).alias("place"))
+    return rows.select("id", "unit", F.explode(F.filter(made, lambda v: v.isNotNull())).alias("v")).select("v.*", "unit", "id")
 
 
 def earliest_partners(found: DataFrame) -> DataFrame:
-    """place, other (an earlier place one edit away), unit, kind and at, for every line that has such a place."""
-    firsts = [F.min(F.when(F.col("kind") == k, F.col("place"))).alias(k) for k in KINDS]
+    """id, other (an earlier line one edit away), unit, kind and at, for every line that has one."""
+    firsts = [F.min(F.when(F.col("kind") == k, F.col("id"))).alias(k) for k in KINDS]
     keys = written(found.groupBy("key").agg(F.count("*").alias("many"), *firsts).where("many > 1").drop("many"), "line-keys")
     other = F.when(F.col("kind") == "replace", F.col("replace")).when(F.col("kind") == "gap", F.col("without")).otherwise(F.col("gap"))
-    met = found.join(keys, "key").select("place", other.alias("other"), "unit", "kind", "at").where("other < place")
-    return met.groupBy("place").agg(F.min(F.struct("other", "unit", "kind", "at")).alias("e")).select("place", "e.*")
+    met = found.join(keys, "key").select("id", other.alias("other"), "unit", "kind", "at").where("other < id")
+    return met.groupBy("id").agg(F.min(F.struct("other", "unit", "kind", "at")).alias("e")).select("id", "e.*")
 
 
 def verified(partners: DataFrame, lines: DataFrame) -> DataFrame:
-    """The places whose line is one edit, of the kind found, from the partner's."""
-    text = lines.select(F.struct(*PLACE).alias("place"), "line")
-    both = partners.join(text, "place").join(text.select(F.col("place").alias("other"), F.col("line").alias("first_line")), "other")
+    """The ids whose line is one edit, of the kind found, from the partner's."""
+    text = lines.select("id", "line")
+    both = partners.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("line").alias("first_line")), "other")
     w, v, at, rest = F.col("w"), F.col("v"), F.col("at"), F.lit(2**31 - 1)
     cut = [F.when(F.col("unit") == 0, pieces(F.col(c), UNITS[0])).otherwise(pieces(F.col(c), UNITS[1])) for c in ("line", "first_line")]
-    both = both.select("place", "kind", "at", cut[0].alias("w"), cut[1].alias("v"))
+    both = both.select("id", "kind", "at", cut[0].alias("w"), cut[1].alias("v"))
     mine = at + F.when(F.col("kind") == "gap", 1).otherwise(2)
     other = at + F.when(F.col("kind") == "without", 1).otherwise(2)
     same = (F.slice(w, F.lit(1), at) == F.slice(v, F.lit(1), at)) & (F.slice(w, mine, rest) == F.slice(v, other, rest))
-    return both.where(same).select("place.*")
+    return both.where(same).select("id")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -179,11 +179,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     asked = written(possible_edits(different), "line-asked")
     split = F.split("text", "\n")
-    lines = texts.join(asked, ["doc_id", "tie"]).select("doc_id", "tie", F.explode(F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["flags"].alias("flags"), F.get(split, x["line_no"]).alias("line")))).alias("l"))
-    # rows that repeat doc_id and text are one place
-    lines = written(lines.select("doc_id", "tie", "l.line_no", "l.flags", plain_line(F.col("l.line")).alias("line")).dropDuplicates(PLACE), "line-texts")
+    lists = asked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "flags", "id")).alias("lines"))
+    taken = F.transform("lines", lambda x: F.struct(x["id"].alias("id"), x["flags"].alias("flags"), F.get(split, x["line_no"]).alias("line")))
+    lines = texts.join(lists, ["doc_id", "tie"]).select(F.explode(taken).alias("l"))
+    # rows that repeat doc_id and text share ids; uid tells their lines apart
+    lines = written(lines.select("l.id", "l.flags", F.monotonically_increasing_id().alias("uid"), plain_line(F.col("l.line")).alias("line")), "line-texts")
     found = written(variants(lines), "line-variants")
-    gone = equal.unionByName(verified(earliest_partners(found), lines))
+    near = verified(earliest_partners(found), lines).join(asked, "id").select(*PLACE)
+    gone = equal.unionByName(near)
     out = written(gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "line-removed")
     discard(hashed, different, asked, lines, found)
     return out
