@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyspark.config import CONFIG
+from canopyspark.operators.components import connected_components
+from canopyspark.operators.scratch import written
 
 
 def true(pred: Column) -> Column:
@@ -62,19 +64,18 @@ def opening3(cells: DataFrame) -> DataFrame:
     return spread(core).distinct()
 
 
-def patches(cells: DataFrame) -> DataFrame:
-    """(r, c, label) of 8-neighbour patches; label is the smallest r * side + c of the patch.
+def patches(cells: DataFrame, diagonal: bool = True) -> DataFrame:
+    """(r, c, label) of 8-neighbour patches (4-neighbour without diagonal); label is the smallest r * side + c.
 
     Rows are cut into runs first (gaps and islands), so the graph has a node per run, and adjacent
     rows' runs meet in an equi-join on the row number.
     """
-    from canopyspark.operators.components import connected_components
-
     by_row = Window.partitionBy("r").orderBy("c")
     runs = cells.withColumn("g", F.col("c") - F.row_number().over(by_row)).groupBy("r", "g").agg(F.min("c").alias("a"), F.max("c").alias("b"))
-    runs = runs.withColumn("id", F.col("r") * CONFIG.side + F.col("a"))
+    # the runs are read four times; written once, so that the raster is not made again for each
+    runs = written(runs.withColumn("id", F.col("r") * CONFIG.side + F.col("a")), "runs")
     below = runs.select((F.col("r") - 1).alias("r"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"))
-    edges = runs.join(below, "r").where((F.col("a") <= F.col("b2") + 1) & (F.col("a2") <= F.col("b") + 1)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    edges = runs.join(below, "r").where((F.col("a") <= F.col("b2") + int(diagonal)) & (F.col("a2") <= F.col("b") + int(diagonal))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     found = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
     named = runs.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
     return named.select("r", F.explode(F.sequence("a", "b")).alias("c"), "label")

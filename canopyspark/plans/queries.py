@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopyspark.config import CONFIG
 from canopyspark.operators import rules
+from canopyspark.operators.scratch import written
 from canopyspark.sources.synthetic import labels, scenes
 
 DATES = "[" + ", ".join(f"DATE '{d}'" for d in CONFIG.dates) + "]"
@@ -84,7 +85,8 @@ def patch_components(spark, d):
 
 
 def patch_stats(spark, d):
-    px = _px(spark, d).join(patch_components(spark, d), ["r", "c"])
+    found = written(_px(spark, d), "pixels")  # read for the patches and again for their statistics
+    px = found.join(rules.patches(rules.opening3(found.where("conf > 0"))), ["r", "c"])
     hit = (F.col("first").isNotNull() & F.col("last").isNotNull()).cast("long")
     return px.groupBy("label").agg(
         F.count("*").alias("px"),
@@ -197,7 +199,7 @@ def block_split(spark, d):
 
 def label_confusion(spark, d):
     t = spark.read.parquet(f"{d}/labels.parquet")
-    return t.agg(F.count_if("quality = 1 AND toxic = 1" if False else (F.col("quality") == 1) & (F.col("toxic") == 1)).alias("hits"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("misses"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("false_alarms"))
+    return t.agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("hits"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("misses"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("false_alarms"))
 
 
 def event_period_rates(spark, d):
@@ -207,7 +209,7 @@ def event_period_rates(spark, d):
 
 def lineitem_year_zone(spark, d):
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
-    j = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    j = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy(F.year("l_shipdate").alias("year"), (F.col("n_regionkey") < 2).alias("inside")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
@@ -227,7 +229,7 @@ def emb_cosine_change(spark, d):
 
 
 def sets_union_intersect_except(spark, d):
-    px = _px(spark, d)
+    px = written(_px(spark, d), "pixels")
     rule = px.where("change_idx IS NOT NULL").select("r", "c")
     model = px.where("first - min_later >= 2500").select("r", "c")
     parts = [("union", rule.union(model).distinct()), ("intersect", rule.intersect(model)), ("except", rule.exceptAll(model))]
