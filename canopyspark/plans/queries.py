@@ -97,31 +97,36 @@ def patch_stats(spark, d):
         F.sum(hit).alias("valid"),
         F.sum(rules.water(F.col("last")).cast("long")).alias("wet"),
         F.max((F.col("c") < CONFIG.side // 2).cast("int")).alias("in_buffer"),
+        F.max((F.col("r") < CONFIG.side // 4).cast("int")).alias("in_indigenous"),
         F.min(F.col("c") * 10).alias("dist_road"),
+        F.min(F.when(F.col("c") < CONFIG.side // 2, F.col("r") * 10)).alias("dist_river"),
         F.sum("r").alias("sum_r"),
         F.sum("c").alias("sum_c"),
     )
 
 
 def alerts(stats):
-    """Patches of 50 pixels or more with type, confidence, priority (tenths of a point) and rank."""
+    """Patches of 50 pixels or more with type, confidence, priority (one decimal, half to even) and rank."""
     s = stats.where(F.col("px") >= CONFIG.min_patch_px)
     kind = F.when(2 * F.col("wet") >= F.col("valid"), "pond").when(F.col("drop") >= CONFIG.tailings_drop * F.col("valid"), "bare").otherwise("clearing")
     size, growth, protected, access, trust = CONFIG.weights
     high = 2 * F.col("high") >= F.col("px")
     s = s.withColumn("type", kind).withColumn("confidence", F.when(high, "high").otherwise("medium"))
+    # on the rounded columns; access is by the nearer of road and river, none where both are unknown
+    growth_share = F.bround(F.col("late") / F.col("px"), 3)
+    near = F.least("dist_road", "dist_river")
     parts = (
-        F.lit(size * 1000) * F.least(F.col("px"), F.lit(1000)).cast("double") / 1000
-        + F.lit(growth * 1000) * F.col("late").cast("double") / F.col("px")
-        + F.lit(protected * 1000) * F.col("in_buffer")
-        + F.lit(access * 1000) * (1 - F.least(F.col("dist_road"), F.lit(5000)).cast("double") / 5000)
-        + F.lit(trust * 1000) * F.when(high, 1.0).otherwise(0.5)
+        F.lit(float(size)) * F.least(F.lit(1.0), F.col("px") / 100 / 10)
+        + F.lit(float(growth)) * growth_share
+        + F.lit(float(protected)) * F.greatest("in_buffer", "in_indigenous")
+        + F.lit(float(access)) * F.coalesce(1 - F.least(near, F.lit(5000)) / 5000, F.lit(0.0))
+        + F.lit(float(trust)) * F.when(high, 1.0).otherwise(0.5)
     )
-    s = s.withColumn("priority", F.floor(parts / 100).cast("long"))
+    s = s.withColumn("priority", F.bround(100 * parts / sum(CONFIG.weights), 1))
     dates = F.array(*[F.lit(x) for x in CONFIG.dates])
     return s.select(
         F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("px"), "label")).alias("id"),
-        "label", "px", F.element_at(dates, (F.col("first_idx") + 1).cast("int")).alias("first_seen"), "type", "confidence", "priority", "in_buffer", "dist_road",
+        "label", "px", F.element_at(dates, (F.col("first_idx") + 1).cast("int")).alias("first_seen"), "type", "confidence", "priority", "in_buffer", "in_indigenous", "dist_road", "dist_river",
     )
 
 
@@ -244,10 +249,10 @@ def percentiles(spark, d):
 QUERIES = {f.__name__: f for f in (scene_stack_stats, rule_detect, rule_change_idx, min_later, stable_forest, nodata_null_semantics, confidence_map, opening3, patch_components, patch_stats, alerts_ranked, alerts_topk, chip_counts, crackdown_table, crackdown_summary, year_table, evaluate4, multilook, texture5, db_stretch, block_split, label_confusion, event_period_rates, lineitem_year_zone, order_pool_filters, emb_cosine_change, sets_union_intersect_except, percentiles)}
 
 STATS = LABELLED + """, st AS (SELECT label, count(*) AS px, coalesce(min(change_idx), 5) AS first_idx, count_if(change_idx >= 3)::BIGINT AS late, count_if(conf = 2)::BIGINT AS high, sum(first - last)::BIGINT AS drop,
-  count_if(first IS NOT NULL AND last IS NOT NULL)::BIGINT AS valid, count_if(last < -18000)::BIGINT AS wet, max((c < 128)::INT) AS in_buffer, min(c * 10) AS dist_road, sum(r)::BIGINT AS sum_r, sum(c)::BIGINT AS sum_c FROM lab JOIN cf USING (r, c) GROUP BY label)"""
+  count_if(first IS NOT NULL AND last IS NOT NULL)::BIGINT AS valid, count_if(last < -18000)::BIGINT AS wet, max((c < 128)::INT) AS in_buffer, max((r < 64)::INT) AS in_indigenous, min(c * 10) AS dist_road, min(CASE WHEN c < 128 THEN r * 10 END) AS dist_river, sum(r)::BIGINT AS sum_r, sum(c)::BIGINT AS sum_c FROM lab JOIN cf USING (r, c) GROUP BY label)"""
 ALERTS = STATS + f""", al0 AS (SELECT *, CASE WHEN 2 * wet >= valid THEN 'pond' WHEN drop >= 5000 * valid THEN 'bare' ELSE 'clearing' END AS type, CASE WHEN 2 * high >= px THEN 'high' ELSE 'medium' END AS confidence,
-  floor((30000 * least(px, 1000)::DOUBLE / 1000 + 20000 * late::DOUBLE / px + 25000 * in_buffer + 15000 * (1 - least(dist_road, 5000)::DOUBLE / 5000) + 10000 * CASE WHEN 2 * high >= px THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / 100)::BIGINT AS priority FROM st WHERE px >= 50),
-al AS (SELECT row_number() OVER (ORDER BY priority DESC, px DESC, label)::INT AS id, label, px, strftime(({DATES})[(first_idx + 1)::INT], '%Y-%m-%d') AS first_seen, type, confidence, priority, in_buffer, dist_road FROM al0)"""
+  round_even(100 * (30.0::DOUBLE * least(1.0::DOUBLE, px / 100 / 10) + 20.0::DOUBLE * round_even(late / px, 3) + 25.0::DOUBLE * greatest(in_buffer, in_indigenous) + 15.0::DOUBLE * coalesce(1 - least(least(dist_road, dist_river), 5000) / 5000, 0.0::DOUBLE) + 10.0::DOUBLE * CASE WHEN 2 * high >= px THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / 100, 1) AS priority FROM st WHERE px >= 50),
+al AS (SELECT row_number() OVER (ORDER BY priority DESC, px DESC, label)::INT AS id, label, px, strftime(({DATES})[(first_idx + 1)::INT], '%Y-%m-%d') AS first_seen, type, confidence, priority, in_buffer, in_indigenous, dist_road, dist_river FROM al0)"""
 CRACK = PIXELS + f""", ct AS (SELECT i, strftime(({DATES})[i], '%Y-%m-%d') AS period_start, strftime(({DATES})[i + 1], '%Y-%m-%d') AS period_end, (({DATES})[i + 1] - ({DATES})[i])::BIGINT AS days,
   CASE WHEN ({DATES})[i + 1] <= DATE '2019-02-19' THEN 'before' WHEN ({DATES})[i] >= DATE '2019-02-19' THEN 'after' ELSE 'straddles' END AS phase,
   (SELECT count(*) FROM cf WHERE conf > 0 AND change_idx = i AND c < 128) AS inside_px, (SELECT count(*) FROM cf WHERE conf > 0 AND change_idx = i AND c >= 128) AS outside_px FROM range(1, 6) t(i))"""

@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from canopyspark.functions import geo
 from canopyspark.operators.components import connected_components
 from canopyspark.operators.rules import opening3
-from canopyspark.plans import queries as analytics
+from canopyspark.plans import reports
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -20,14 +21,14 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the generated tables")
-@pytest.mark.parametrize("name", ["rule_detect", "opening3", "patch_stats", "alerts_ranked", "crackdown_table", "evaluate4", "texture5", "order_pool_filters"])
+@pytest.mark.parametrize("name", ["lee_filter", "closing5", "edt_distance", "points_mean3", "warp_bilinear", "mosaic_first", "loss_timeline", "model_compare", "point_series", "nearby5", "pool_filters", "export_geojson", "export_csv", "polygon_burn", "rule_detect", "opening3", "patch_stats", "alerts_ranked", "crackdown_table", "evaluate4", "texture5", "order_pool_filters"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    found = analytics.QUERIES[name](spark, str(DATA))
+    found = __spark_entry__.queries()[name](spark, str(DATA))
     names = sorted(found.columns)
-    wanted = con.execute(f"SELECT {', '.join(names)} FROM ({analytics.ORACLES[name]})").fetchall()
+    wanted = con.execute(f"SELECT {', '.join(names)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert plain(found.select(*names).collect()) == plain(wanted)
 
 
@@ -35,6 +36,16 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_grid_of_the_published_box(spark):
+    assert tuple(reports.grid_bounds(spark, str(DATA)).first()) == (391530, 8568230, 1089, 890)
+
+
+def test_projection_round_trip(spark):
+    x, y = geo.utm(*geo.lonlat("x", "y"))
+    row = spark.sql(f"SELECT {x} AS x, {y} AS y FROM VALUES (391530.0D, 8568230.0D) AS t(x, y)").first()
+    assert abs(row.x - 391530) < 0.001 and abs(row.y - 8568230) < 0.001
+
+
 def test_connected_components(spark):
     draw = random.Random(4)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(None, 3), (7, 7)]
