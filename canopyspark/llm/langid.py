@@ -120,9 +120,12 @@ def train(docs: DataFrame, *, max_train_docs: int = 3000, min_docs: int = 3, max
     top = rated.withColumn("best", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= ratio * F.col("best"))
     masks = np.zeros((1 << bits, -(-len(languages) // 64)), np.uint64)
     fill = np.zeros(len(languages))
-    for i, lang in enumerate(languages):  # a language at a time, max_grams rows at most
-        rows = top.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram").toPandas()
-        gram = rows["gram"].to_numpy(np.int64).astype(np.uint32)
+    # one job for all languages; max_grams rows a language at most come to the driver
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    kept = top.withColumn("place", place).where(F.col("place") <= max_grams).select("lang", "gram").toPandas()
+    by_language = dict(tuple(kept.groupby("lang")["gram"]))
+    for i, lang in enumerate(languages):
+        gram = by_language[lang].to_numpy(np.int64).astype(np.uint32) if lang in by_language else np.empty(0, np.uint32)
         for k in range(HASHES):
             masks[_rows(gram, k, bits), i // 64] |= np.uint64(1 << (i % 64))
         fill[i] = ((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()
