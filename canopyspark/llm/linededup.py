@@ -15,7 +15,8 @@ the text, then a smaller line number. The earlier line may itself be removed for
 
 Equal lines are found first, by a 128-bit hash; from there on each different line is one row. Two lines
 one edit apart share their first or their last half of pieces, so a line of which no half occurs in
-another line of its length, or of one piece more or less, has no partner and makes no variants.
+another line of its length, or of one piece more or less, has no partner and makes no variants. Joins
+are by shuffle whatever the size, so that small inputs run the plan of large ones.
 
 Defined results: lines of fewer than MIN_WORDS words are never removed and remove nothing; null
 text stays null; a row with a null doc_id stays as it is and takes no part; rows that repeat a
@@ -101,7 +102,7 @@ def possible_edits(different: DataFrame) -> DataFrame:
     longer = F.col("code").bitwiseAND(2) > 0
     shared = halves.groupBy("key").agg(F.count_if(~longer).alias("same"), F.count_if(longer).alias("longer"))
     shared = written(shared.where("same > 1 OR same > 0 AND longer > 0"), "line-halves")
-    met = halves.join(shared, "key")
+    met = halves.join(shared.hint("merge"), "key")
 
     flags = F.lit(0)
     for u in range(len(UNITS)):
@@ -175,13 +176,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     hashed, different = different_lines(texts)
     different = written(different, "line-different")
     copied = different.where("many > 1").select("h1", "h2", F.struct(*PLACE).alias("first_at"))
-    equal = hashed.drop("keys").join(copied, ["h1", "h2"]).where(F.struct(*PLACE) > F.col("first_at")).select(*PLACE)
+    equal = hashed.drop("keys").join(copied.hint("merge"), ["h1", "h2"]).where(F.struct(*PLACE) > F.col("first_at")).select(*PLACE)
 
     asked = written(possible_edits(different), "line-asked")
     split = F.split("text", "\n")
     lists = asked.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("line_no", "flags", "id")).alias("lines"))
     taken = F.transform("lines", lambda x: F.struct(x["id"].alias("id"), x["flags"].alias("flags"), F.get(split, x["line_no"]).alias("line")))
-    lines = texts.join(lists, ["doc_id", "tie"]).select(F.explode(taken).alias("l"))
+    lines = texts.join(lists.hint("merge"), ["doc_id", "tie"]).select(F.explode(taken).alias("l"))
     # rows that repeat doc_id and text share ids; uid tells their lines apart
     lines = written(lines.select("l.id", "l.flags", F.monotonically_increasing_id().alias("uid"), plain_line(F.col("l.line")).alias("line")), "line-texts")
     found = written(variants(lines), "line-variants")
@@ -196,7 +197,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs without removed lines, and the columns n_lines and n_removed in front of theirs."""
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
-    marked = keyed.join(removed_lines(docs), ["doc_id", "tie"], "left")
+    marked = keyed.join(removed_lines(docs).hint("merge"), ["doc_id", "tie"], "left")
     split = F.split("row.text", "\n")
     kept = F.array_join(F.filter(split, lambda l, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
