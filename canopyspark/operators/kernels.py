@@ -24,26 +24,25 @@ def spread(cells: DataFrame, reach: int, *carry: str) -> DataFrame:
     return moved.select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), *carry)
 
 
-def closing(cells: DataFrame, reach: int) -> DataFrame:
+def closing(cells: DataFrame, reach: int, height: int) -> DataFrame:
     """Dilation, then erosion, of a set of cells; outside the grid there are none."""
-    inside = F.col("r").between(0, CONFIG.side - 1) & F.col("c").between(0, CONFIG.side - 1)
+    inside = F.col("r").between(0, height - 1) & F.col("c").between(0, CONFIG.side - 1)
     wide = spread(cells.select("r", "c"), reach).where(inside).distinct()
     return spread(wide, reach).where(inside).groupBy("r", "c").agg(F.count("*").alias("n")).where(F.col("n") == (2 * reach + 1) ** 2).select("r", "c")
 
 
-def box_sums(px: DataFrame, reach: int, *columns: str) -> DataFrame:
+def box_sums(px: DataFrame, reach: int, height: int, *columns: str) -> DataFrame:
     """Sums of columns over square windows with mirrored edges, in two one-dimensional passes."""
 
-    def halo(x: DataFrame, at: str) -> DataFrame:
-        side = CONFIG.side
+    def halo(x: DataFrame, at: str, side: int) -> DataFrame:
         mirrored = F.array(F.col(at), F.when(F.col(at) < reach, -1 - F.col(at)), F.when(F.col(at) >= side - reach, 2 * side - 1 - F.col(at)))
         return x.withColumn(at, F.explode(F.filter(mirrored, lambda v: v.isNotNull())))
 
-    def box(x: DataFrame, by: str, at: str) -> DataFrame:
+    def box(x: DataFrame, by: str, at: str, side: int) -> DataFrame:
         w = Window.partitionBy(by).orderBy(at).rowsBetween(-reach, reach)
-        return halo(x, at).select(by, at, *[F.sum(c).over(w).alias(c) for c in columns]).where(F.col(at).between(0, CONFIG.side - 1))
+        return halo(x, at, side).select(by, at, *[F.sum(c).over(w).alias(c) for c in columns]).where(F.col(at).between(0, side - 1))
 
-    return box(box(px.select("r", "c", *columns), "r", "c"), "c", "r")
+    return box(box(px.select("r", "c", *columns), "r", "c", CONFIG.side), "c", "r", height)
 
 
 def _envelope(height: np.ndarray) -> np.ndarray:

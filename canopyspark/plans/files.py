@@ -12,7 +12,7 @@ from canopyspark.plans import queries as core
 from canopyspark.plans.layers import HOLED, holed, scene
 from canopyspark.plans.queries import LABELS, MIRROR, PIXELS, PLANTS, _px
 from canopyspark.sources import files, geotiff
-from canopyspark.sources.synthetic import labels
+from canopyspark.sources.synthetic import height, labels
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,7 +41,7 @@ def geotiff_scene(spark, d):
     return geotiff.file_pixels(encoded).select("r", "c", F.col("v").cast("long").alias("v"))
 
 
-@query(LABELS + ", grid AS (SELECT i // 256 AS r, i % 256 AS c FROM range(65536) t(i)) SELECT r, c, coalesce(year, 0) AS year FROM grid LEFT JOIN lb USING (r, c)")
+@query(LABELS + ", grid AS (SELECT i // 256 AS r, i % 256 AS c FROM (SELECT unnest(range(height * 256)) AS i FROM ht) t) SELECT r, c, coalesce(year, 0) AS year FROM grid LEFT JOIN lb USING (r, c)")
 def geotiff_labels(spark, d):
     """The layer of label years through GeoTIFF files of integers: no label is 0."""
     grid = scene(spark, d).select("r", "c").join(labels(spark, d), ["r", "c"], "left")
@@ -143,10 +143,10 @@ DENSE_SHARE, PROMINENT_PX = 0.55, 400
 @query(
     PIXELS
     + f""", o9 AS (SELECT unnest(range(-4, 5)) AS d), o5 AS (SELECT unnest(range(-2, 3)) AS d), hi AS (SELECT r, c FROM cf WHERE conf = 2),
-z AS (SELECT px.r, px.c, {MIRROR.format(x="px.r + a.d")} AS r2, {MIRROR.format(x="px.c + b.d")} AS c2 FROM px, o9 a, o9 b),
+z AS (SELECT px.r, px.c, {MIRROR.format(x="px.r + a.d", size="px.height")} AS r2, {MIRROR.format(x="px.c + b.d", size=256)} AS c2 FROM (SELECT r, c, height FROM px, ht) px, o9 a, o9 b),
 core AS (SELECT z.r, z.c FROM z JOIN hi ON hi.r = z.r2 AND hi.c = z.c2 GROUP BY 1, 2 HAVING count(*) > {DENSE_SHARE} * 81),
-wide AS (SELECT DISTINCT r + a.d AS r, c + b.d AS c FROM core, o5 a, o5 b WHERE r + a.d BETWEEN 0 AND 255 AND c + b.d BETWEEN 0 AND 255),
-cl AS (SELECT r + a.d AS r, c + b.d AS c FROM wide, o5 a, o5 b WHERE r + a.d BETWEEN 0 AND 255 AND c + b.d BETWEEN 0 AND 255 GROUP BY 1, 2 HAVING count(*) = 25),
+wide AS (SELECT DISTINCT r + a.d AS r, c + b.d AS c FROM core, o5 a, o5 b WHERE r + a.d BETWEEN 0 AND (SELECT height - 1 FROM ht) AND c + b.d BETWEEN 0 AND 255),
+cl AS (SELECT r + a.d AS r, c + b.d AS c FROM wide, o5 a, o5 b WHERE r + a.d BETWEEN 0 AND (SELECT height - 1 FROM ht) AND c + b.d BETWEEN 0 AND 255 GROUP BY 1, 2 HAVING count(*) = 25),
 nb AS (SELECT a.r * 256 + a.c AS u, b.r * 256 + b.c AS v FROM cl a JOIN cl b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1),
 seed AS (SELECT u FROM nb GROUP BY u HAVING min(v) = u), cc AS (SELECT u AS s, u AS t FROM seed UNION SELECT cc.s, nb.v FROM cc JOIN nb ON nb.u = cc.t),
 lab AS (SELECT t, min(s) AS label FROM cc GROUP BY t)
@@ -155,7 +155,7 @@ SELECT t // 256 AS r, t % 256 AS c, label FROM lab QUALIFY count(*) OVER (PARTIT
 def prominent_overlay(spark, d):
     """Changes that stand out: high confidence, dense in 9 x 9 windows, closed, in patches of PROMINENT_PX pixels and more."""
     high = _px(spark, d).select("r", "c", (F.col("conf") == 2).cast("long").alias("high"))
-    core_cells = kernels.box_sums(high, 4, "high").where(F.col("high") > DENSE_SHARE * 81)
-    found = written(rules.patches(kernels.closing(core_cells, 2), diagonal=False), "prominent")
+    core_cells = kernels.box_sums(high, 4, height(spark, d), "high").where(F.col("high") > DENSE_SHARE * 81)
+    found = written(rules.patches(kernels.closing(core_cells, 2, height(spark, d)), diagonal=False), "prominent")
     large = found.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= PROMINENT_PX)
     return found.join(large, "label", "left_semi").select("r", "c", "label")

@@ -14,7 +14,7 @@ from canopyspark.functions import geo
 from canopyspark.operators import kernels, rules
 from canopyspark.operators.scratch import written
 from canopyspark.plans.queries import ALERTS, DATES, LABELS, MIRROR, OPENED, PIXELS, PLANTS, _px, alerts_ranked
-from canopyspark.sources.synthetic import labels, scenes
+from canopyspark.sources.synthetic import height, labels, scenes
 
 SIDE = CONFIG.side
 QUERIES, ORACLES = {}, {}
@@ -48,6 +48,7 @@ def holed(spark, d) -> DataFrame:
 #: Points in and around the grid, from the customer table: pid, x, y, mining.
 POINT = "c_custkey AS pid, CAST(391530 + (c_custkey * 7919 % 300 - 20) * 10 AS DOUBLE) + 3.5 AS x, CAST(8568230 - (c_custkey * 104729 % 300 - 20) * 10 AS DOUBLE) - 6.5 AS y, c_custkey % 3 = 0 AS mining"
 _ROW, _COL = geo.pixel("x", "y")
+#: The first square of the grid; the points lie in and around it.
 INSIDE = f"r BETWEEN 0 AND {SIDE - 1} AND c BETWEEN 0 AND {SIDE - 1}"
 POINTS = f"pt AS (SELECT *, {_ROW} AS r, {_COL} AS c FROM (SELECT {POINT} FROM customer))"
 
@@ -78,7 +79,7 @@ def calibrate_intensity(spark, d):
     return found.select("row", "col", "n_valid", F.round(power, 6).alias("power"), F.round(10 * F.log10(power), 6).alias("db"))
 
 
-_BOX = f"FROM (SELECT r, c, v FROM v) z, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) b, w y WHERE y.r = {MIRROR.format(x='z.r + a.d')} AND y.c = {MIRROR.format(x='z.c + b.d')} GROUP BY z.r, z.c"
+_BOX = f"FROM (SELECT r, c, v, height FROM v, ht) z, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) b, w y WHERE y.r = {MIRROR.format(x='z.r + a.d', size='z.height')} AND y.c = {MIRROR.format(x='z.c + b.d', size=SIDE)} GROUP BY z.r, z.c"
 
 
 @query(HOLED + f""", w AS (SELECT r, c, (v IS NOT NULL)::BIGINT AS n, coalesce(v + 30000, 0)::BIGINT AS s1 FROM v), s AS (SELECT z.r, z.c, sum(n)::BIGINT AS n, sum(s1)::BIGINT AS s1, sum(s1 * s1)::BIGINT AS s2 {_BOX}),
@@ -88,7 +89,7 @@ def lee_filter(spark, d):
     """Lee speckle filter, 5 x 5 and 4 looks, on positive power with holes; holes stay."""
     v = holed(spark, d)
     x = F.coalesce(F.col("v") + 30000, F.lit(0))
-    sums = kernels.box_sums(v.select("r", "c", F.col("v").isNotNull().cast("long").alias("n"), x.alias("s1"), (x * x).alias("s2")), 2, "n", "s1", "s2")
+    sums = kernels.box_sums(v.select("r", "c", F.col("v").isNotNull().cast("long").alias("n"), x.alias("s1"), (x * x).alias("s2")), 2, height(spark, d), "n", "s1", "s2")
     mean = F.col("s1") / F.col("n")
     ci2 = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)) / (mean * mean)
     looks = 4
@@ -102,13 +103,13 @@ def texture_std(spark, d):
     v = holed(spark, d)
     mean = v.agg(F.avg("v").alias("m")).first()["m"]
     x = F.coalesce(F.col("v").cast("double"), F.lit(mean))
-    sums = kernels.box_sums(v.select("r", "c", x.alias("s1"), (x * x).alias("s2")), 2, "s1", "s2")
+    sums = kernels.box_sums(v.select("r", "c", x.alias("s1"), (x * x).alias("s2")), 2, height(spark, d), "s1", "s2")
     return sums.select("r", "c", F.round(F.sqrt(F.greatest(F.col("s2") / 25 - (F.col("s1") / 25) * (F.col("s1") / 25), F.lit(0.0))), 2).alias("texture"))
 
 
-@query(PIXELS + f", o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d), wide AS (SELECT DISTINCT r + a.d AS r, c + b.d AS c FROM cf, o a, o b WHERE conf > 0 AND r + a.d BETWEEN 0 AND {SIDE - 1} AND c + b.d BETWEEN 0 AND {SIDE - 1}) SELECT r + a.d AS r, c + b.d AS c FROM wide, o a, o b WHERE r + a.d BETWEEN 0 AND {SIDE - 1} AND c + b.d BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2 HAVING count(*) = 25")
+@query(PIXELS + f", o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d), wide AS (SELECT DISTINCT r + a.d AS r, c + b.d AS c FROM cf, o a, o b WHERE conf > 0 AND r + a.d BETWEEN 0 AND (SELECT height - 1 FROM ht) AND c + b.d BETWEEN 0 AND {SIDE - 1}) SELECT r + a.d AS r, c + b.d AS c FROM wide, o a, o b WHERE r + a.d BETWEEN 0 AND (SELECT height - 1 FROM ht) AND c + b.d BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2 HAVING count(*) = 25")
 def closing5(spark, d):
-    return kernels.closing(_px(spark, d).where("conf > 0"), 2)
+    return kernels.closing(_px(spark, d).where("conf > 0"), 2, height(spark, d))
 
 
 @query(OPENED + """, nb AS (SELECT a.r * 256 + a.c AS u, b.r * 256 + b.c AS v FROM op a JOIN op b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1),
@@ -125,7 +126,7 @@ def downsample(spark, d):
     return holed(spark, d).groupBy(F.floor(F.col("r") / 8).alias("row"), F.floor(F.col("c") / 8).alias("col")).agg(F.round(F.avg("v"), 4).alias("mean"), F.max("v").alias("high"), F.count("v").alias("n"))
 
 
-SQUARED = LABELS + f", grid AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c FROM range({SIDE * SIDE}) t(i)), col AS (SELECT g.r, g.c, min(abs(g.r - lb.r)) AS g FROM grid g JOIN lb ON lb.c = g.c GROUP BY 1, 2), edt AS (SELECT a.r, a.c, min((a.c - b.c) * (a.c - b.c) + b.g * b.g)::BIGINT AS d2 FROM grid a JOIN col b ON a.r = b.r GROUP BY 1, 2)"
+SQUARED = LABELS + f", grid AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c FROM (SELECT unnest(range(height * {SIDE})) AS i FROM ht) t), col AS (SELECT g.r, g.c, min(abs(g.r - lb.r)) AS g FROM grid g JOIN lb ON lb.c = g.c GROUP BY 1, 2), edt AS (SELECT a.r, a.c, min((a.c - b.c) * (a.c - b.c) + b.g * b.g)::BIGINT AS d2 FROM grid a JOIN col b ON a.r = b.r GROUP BY 1, 2)"
 
 
 def label_distance(spark, d) -> DataFrame:
@@ -261,7 +262,7 @@ def warp_bilinear(spark, d):
     return kernels.bilinear(holed(spark, d), wanted(spark), "v").select("i", "j", F.round("v", 4).alias("v"))
 
 
-@query(_bilinear_sql(f"SELECT p // {SIDE} AS i, p % {SIDE} AS j, p // {SIDE} + 0.75::DOUBLE AS sr, p % {SIDE} - 0.5::DOUBLE AS sc FROM range({SIDE * SIDE}) t(p)"))
+@query(_bilinear_sql(f"SELECT p // {SIDE} AS i, p % {SIDE} AS j, p // {SIDE} + 0.75::DOUBLE AS sr, p % {SIDE} - 0.5::DOUBLE AS sc FROM (SELECT unnest(range(height * {SIDE})) AS p FROM ht) t"))
 def shift_apply(spark, d):
     """A scene moved by a fraction of a pixel, as after an estimated shift; nothing is made up beyond the edge."""
     at = scene(spark, d).select(F.col("r").alias("i"), F.col("c").alias("j"), (F.col("r") + 0.75).alias("sr"), (F.col("c") - 0.5).alias("sc"))

@@ -6,16 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canopyspark.config import CONFIG
-from canopyspark.operators import rules
+from canopyspark.operators import kernels, rules
 from canopyspark.operators.scratch import written
-from canopyspark.sources.synthetic import labels, scenes
+from canopyspark.sources.synthetic import height, labels, scenes
 
 DATES = "[" + ", ".join(f"DATE '{d}'" for d in CONFIG.dates) + "]"
-PLANTS = """p AS (SELECT s_suppkey, s_suppkey * 37 % 216 AS r0, s_suppkey * 101 % 216 AS c0, 12 + s_nationkey % 10 AS size, 1 + s_suppkey % 5 AS start,
-  CASE WHEN s_suppkey % 6 = 0 THEN -22000 ELSE -13500 END AS level FROM supplier WHERE s_suppkey < 28),
-g AS (SELECT k, i // 256 AS r, i % 256 AS c FROM range(6) a(k), range(65536) b(i)),
+PLANTS = """p AS (SELECT s_nationkey, s_suppkey // 28 AS square, s_suppkey // 28 * 256 + s_suppkey * 37 % 216 AS r0, s_suppkey * 101 % 216 AS c0, 12 + s_nationkey % 10 AS size, 1 + s_suppkey % 5 AS start,
+  CASE WHEN s_suppkey % 6 = 0 THEN -22000 ELSE -13500 END AS level FROM supplier),
+ht AS (SELECT (coalesce(max(s_suppkey), 0) // 28 + 1) * 256 AS height FROM supplier),
+g AS (SELECT k, i // 256 AS r, i % 256 AS c FROM range(6) a(k), (SELECT unnest(range(height * 256)) AS i FROM ht) b),
 sc AS (SELECT g.k, g.r, g.c, coalesce(min(p.level), -7000) + (xor(xor(g.r * 73856093, g.c * 19349663), g.k * 83492791) % 1401 - 700) AS mdb
-  FROM g LEFT JOIN p ON g.k >= p.start AND g.r >= p.r0 AND g.r < p.r0 + p.size AND g.c >= p.c0 AND g.c < p.c0 + p.size GROUP BY g.k, g.r, g.c)"""
+  FROM g LEFT JOIN p ON g.r // 256 = p.square AND g.k >= p.start AND g.r >= p.r0 AND g.r < p.r0 + p.size AND g.c >= p.c0 AND g.c < p.c0 + p.size GROUP BY g.k, g.r, g.c)"""
 PIXELS = (
     "WITH RECURSIVE "
     + PLANTS
@@ -176,18 +177,8 @@ def multilook(spark, d):
 
 def texture5(spark, d):
     """5x5 box sums of value and square with mirrored edges, in two one-dimensional passes."""
-    s = scenes(spark, d).where("k = 5").select("r", "c", "mdb")
-
-    def halo(x, at):
-        side = CONFIG.side
-        mirrored = F.array(F.col(at), F.when(F.col(at) < 2, -1 - F.col(at)), F.when(F.col(at) >= side - 2, 2 * side - 1 - F.col(at)))
-        return x.withColumn(at, F.explode(F.filter(mirrored, lambda v: v.isNotNull())))
-
-    def box(x, by, at):
-        w = Window.partitionBy(by).orderBy(at).rowsBetween(-2, 2)
-        return halo(x, at).select(by, at, F.sum("s1").over(w).alias("s1"), F.sum("s2").over(w).alias("s2")).where(F.col(at).between(0, CONFIG.side - 1))
-
-    return box(box(s.select("r", "c", F.col("mdb").alias("s1"), (F.col("mdb") * F.col("mdb")).alias("s2")), "r", "c"), "c", "r")
+    s = scenes(spark, d).where("k = 5").select("r", "c", F.col("mdb").alias("s1"), (F.col("mdb") * F.col("mdb")).alias("s2"))
+    return kernels.box_sums(s, 2, height(spark, d), "s1", "s2")
 
 
 def db_stretch(spark, d):
@@ -256,8 +247,8 @@ al AS (SELECT row_number() OVER (ORDER BY priority DESC, px DESC, label)::INT AS
 CRACK = PIXELS + f""", ct AS (SELECT i, strftime(({DATES})[i], '%Y-%m-%d') AS period_start, strftime(({DATES})[i + 1], '%Y-%m-%d') AS period_end, (({DATES})[i + 1] - ({DATES})[i])::BIGINT AS days,
   CASE WHEN ({DATES})[i + 1] <= DATE '2019-02-19' THEN 'before' WHEN ({DATES})[i] >= DATE '2019-02-19' THEN 'after' ELSE 'straddles' END AS phase,
   (SELECT count(*) FROM cf WHERE conf > 0 AND change_idx = i AND c < 128) AS inside_px, (SELECT count(*) FROM cf WHERE conf > 0 AND change_idx = i AND c >= 128) AS outside_px FROM range(1, 6) t(i))"""
-LABELS = f"WITH {PLANTS}, lb AS (SELECT r, c, min(year(({DATES})[(start + 1)::INT]))::INT AS year FROM p, (SELECT DISTINCT r, c FROM g) q WHERE s_suppkey < 24 AND r BETWEEN r0 - 2 AND r0 + size + 1 AND c BETWEEN c0 - 2 AND c0 + size + 1 GROUP BY r, c)"
-MIRROR = "CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} > 255 THEN 511 - ({x}) ELSE {x} END"
+LABELS = f"WITH {PLANTS}, lb AS (SELECT r, c, min(year(({DATES})[(start + 1)::INT]))::INT AS year FROM p, (SELECT DISTINCT r, c FROM g) q WHERE s_nationkey < 20 AND r BETWEEN r0 - 2 AND r0 + size + 1 AND c BETWEEN c0 - 2 AND c0 + size + 1 GROUP BY r, c)"
+MIRROR = "CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {size} THEN 2 * {size} - 1 - ({x}) ELSE {x} END"
 
 ORACLES = {
     "scene_stack_stats": f"WITH {PLANTS} SELECT k, count(*) AS n, sum(mdb)::BIGINT AS total, min(mdb) AS low, max(mdb) AS high FROM sc GROUP BY k",
@@ -280,7 +271,7 @@ ORACLES = {
 u AS (SELECT t, unnest(['rule', 'model', 'combined', 'both']) AS detector, unnest([ru, mo, ru OR mo, ru AND mo]) AS f FROM e)
 SELECT detector, count_if(t AND f)::BIGINT AS hits, count_if(t AND NOT f)::BIGINT AS misses, count_if(NOT t AND f)::BIGINT AS false_alarms, count_if(t AND f) / nullif(count_if(f), 0) AS precision, count_if(t AND f) / nullif(count_if(t), 0) AS recall FROM u GROUP BY detector""",
     "multilook": f"WITH {PLANTS} SELECT r // 4 AS row, c // 3 AS col, sum(mdb)::BIGINT AS total, count(*) AS n, max(mdb) AS high FROM sc WHERE k = 5 GROUP BY 1, 2",
-    "texture5": f"WITH {PLANTS}, z AS (SELECT r, c, mdb FROM sc WHERE k = 5), o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d) SELECT z.r, z.c, sum(y.mdb)::BIGINT AS s1, sum(y.mdb * y.mdb)::BIGINT AS s2 FROM z, o a, o b, z y WHERE y.r = {MIRROR.format(x='z.r + a.d')} AND y.c = {MIRROR.format(x='z.c + b.d')} GROUP BY z.r, z.c",
+    "texture5": f"WITH {PLANTS}, z AS (SELECT r, c, mdb, height FROM sc, ht WHERE k = 5), o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d) SELECT z.r, z.c, sum(y.mdb)::BIGINT AS s1, sum(y.mdb * y.mdb)::BIGINT AS s2 FROM z, o a, o b, z y WHERE y.r = {MIRROR.format(x='z.r + a.d', size='z.height')} AND y.c = {MIRROR.format(x='z.c + b.d', size=256)} GROUP BY z.r, z.c",
     "db_stretch": f"WITH {PLANTS} SELECT trunc(least(greatest((mdb + 25000) * 255 / 25000, 0), 255))::INT AS byte, count(*) AS n FROM sc WHERE k = 0 GROUP BY 1",
     "block_split": LABELS + ", bl AS (SELECT r // 32 * 8 + c // 32 AS block, count(*) AS px FROM lb GROUP BY 1) SELECT block, px, row_number() OVER (ORDER BY block * 7919 % 104729, block) <= least(count(*) OVER () - 1, greatest(1, round_even(count(*) OVER () * 0.25, 0)::BIGINT)) AS held_out FROM bl",
     "label_confusion": "SELECT count_if(quality = 1 AND toxic = 1)::BIGINT AS hits, count_if(quality = 1 AND toxic = 0)::BIGINT AS misses, count_if(quality = 0 AND toxic = 1)::BIGINT AS false_alarms FROM labels",

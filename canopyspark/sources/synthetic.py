@@ -1,4 +1,8 @@
-"""A raster stack as a relation, made from the supplier table without random draws."""
+"""A raster stack as a relation, made from the supplier table without random draws.
+
+The raster is side pixels wide and grows downwards: a square of side x side pixels for every
+PLANTS_A_SQUARE suppliers, so that r * side + c stays a pixel's number.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,23 @@ from pyspark.sql import functions as F
 from canopyspark.config import CONFIG
 
 
+PLANTS_A_SQUARE = 28
+LABELLED_NATIONS = 20
+
+
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the raster; one square without suppliers."""
+    top = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.max("s_suppkey").alias("top")).first()["top"]
+    return ((top or 0) // PLANTS_A_SQUARE + 1) * CONFIG.side
+
+
 def plants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planted squares: r0, c0, size, start scene, level in milli-dB; 28 at most."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(F.col("s_suppkey") < 28)
+    """Planted squares, one a supplier: r0, c0, size, start scene, level in milli-dB."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     span = CONFIG.side - 40
     return s.select(
-        "s_suppkey",
-        (F.col("s_suppkey") * 37 % span).alias("r0"),
+        "s_nationkey",
+        (F.floor(F.col("s_suppkey") / PLANTS_A_SQUARE) * CONFIG.side + F.col("s_suppkey") * 37 % span).alias("r0"),
         (F.col("s_suppkey") * 101 % span).alias("c0"),
         (12 + F.col("s_nationkey") % 10).cast("long").alias("size"),
         (1 + F.col("s_suppkey") % 5).alias("start"),
@@ -29,7 +43,8 @@ def _cells(p: DataFrame, margin: int = 0) -> DataFrame:
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, r, c, mdb): one row per scene and pixel."""
-    n, side = CONFIG.side**2, CONFIG.side
+    side = CONFIG.side
+    n = side * height(spark, sf_dir)
     grid = spark.range(n * len(CONFIG.dates)).select((F.col("id") / n).cast("long").alias("k"), (F.col("id") % n).alias("p"))
     grid = grid.select("k", F.floor(F.col("p") / side).alias("r"), (F.col("p") % side).alias("c"))
     active = _cells(plants(spark, sf_dir)).withColumn("k", F.explode(F.sequence(F.col("start"), F.lit(len(CONFIG.dates) - 1).cast("long"))))
@@ -39,8 +54,8 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(r, c, year) of labelled pixels: plants below 24 with a margin of two pixels; the earliest year wins."""
+    """(r, c, year) of labelled pixels: plants of the labelled nations with a margin of two pixels; the earliest year wins."""
     years = F.element_at(F.array(*[F.lit(int(d[:4])) for d in CONFIG.dates]), (F.col("start") + 1).cast("int"))
-    cells = _cells(plants(spark, sf_dir).where("s_suppkey < 24"), 2).withColumn("year", years)
-    inside = cells.where(F.col("r").between(0, CONFIG.side - 1) & F.col("c").between(0, CONFIG.side - 1))
+    cells = _cells(plants(spark, sf_dir).where(F.col("s_nationkey") < LABELLED_NATIONS), 2).withColumn("year", years)
+    inside = cells.where(F.col("r").between(0, height(spark, sf_dir) - 1) & F.col("c").between(0, CONFIG.side - 1))
     return inside.groupBy("r", "c").agg(F.min("year").alias("year"))
