@@ -33,11 +33,12 @@ def detect(before: Column, after: Column, confirm: Column | None = None) -> Colu
 def pixels(scenes: DataFrame) -> DataFrame:
     """One row per pixel: first, last, min_later, change_idx (first scene that fired, else NULL).
 
-    A single shuffle by pixel: the scenes of a pixel become one ordered array and every rule is
-    an expression over it.
+    A single shuffle by pixel, with map-side combine: one aggregate a scene, then every rule is an
+    expression over the array of them. A missing scene is NULL.
     """
-    stack = scenes.groupBy("r", "c").agg(F.sort_array(F.collect_list(F.struct("k", "mdb"))).alias("s")).select("r", "c", F.transform("s", lambda x: x["mdb"]).alias("s"))
-    first, n = F.get("s", F.lit(0)), len(CONFIG.dates)
+    n = len(CONFIG.dates)
+    stack = scenes.groupBy("r", "c").agg(F.array(*[F.max(F.when(F.col("k") == i, F.col("mdb"))) for i in range(n)]).alias("s"))
+    first = F.get("s", F.lit(0))
     fired = [F.when(detect(first, F.get("s", F.lit(i)), F.get("s", F.lit(i + 1)) if i + 1 < n else None) > 0, i) for i in range(1, n)]
     return stack.select("r", "c", first.alias("first"), F.get("s", F.lit(n - 1)).alias("last"), F.array_min(F.slice("s", 2, n - 1)).alias("min_later"), F.coalesce(*fired).cast("long").alias("change_idx"))
 
