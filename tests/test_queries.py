@@ -9,6 +9,7 @@ from canopyspark.functions import geo
 from canopyspark.operators.components import connected_components
 from canopyspark.operators.rules import opening3
 from canopyspark.plans import reports
+from canopyspark.sources import synthetic
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -63,3 +64,12 @@ def test_opening_keeps_what_a_square_covers(spark):
     cells = {(r, c) for r in range(5, 9) for c in range(5, 8)} | {(5, 9), (20, 20)}
     found = opening3(spark.createDataFrame(sorted(cells), "r long, c long"))
     assert {(x.r, x.c) for x in found.collect()} == {(r, c) for r in range(5, 9) for c in range(5, 8)}
+
+
+def test_raster_grows_with_the_suppliers(spark, tmp_path):
+    for n, rows in ((0, 256), (28, 256), (29, 512), (70, 768)):
+        table = spark.range(n).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey")
+        table.write.parquet(f"{tmp_path}/{n}/supplier.parquet")
+        assert synthetic.height(spark, f"{tmp_path}/{n}") == rows
+    assert synthetic.scenes(spark, f"{tmp_path}/70").count() == 6 * 768 * 256
+    assert synthetic.plants(spark, f"{tmp_path}/70").where("r0 >= 512").count() == 14
