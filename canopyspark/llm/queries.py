@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, passages, quality, suffixdedup, tokenfile
+from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, passages, quality, simhash, suffixdedup, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_passages": passages.op9_passages,
     "op10_bpe": bpe.op10_bpe,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 ORACLES = {
