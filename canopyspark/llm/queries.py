@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopyspark.llm import bpe, jaccard, langid, linededup, mixing, mtree, passages, quality, simhash, suffixdedup, tokenfile
+from canopyspark.llm import bpe, jaccard, langid, lexical, linededup, merkle, mixing, mtree, passages, quality, simhash, suffixdedup, tokenfile
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_passages": passages.op9_passages,
     "op10_bpe": bpe.op10_bpe,
     "op11_simhash": simhash.op11_simhash,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 ORACLES = {
     "op2_mtree": mtree.ORACLE,
     "op5_jaccard": jaccard.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op12_merkle": merkle.ORACLE,
+    "op13_lexical": lexical.ORACLE,
 }
