@@ -45,17 +45,19 @@ def holed(spark, d) -> DataFrame:
     return scene(spark, d).select("r", "c", F.expr(f"CASE WHEN NOT ({HOLES}) THEN mdb END AS v"))
 
 
-#: Points in and around the grid, from the customer table: pid, x, y, mining.
-POINT = "c_custkey AS pid, CAST(391530 + (c_custkey * 7919 % 300 - 20) * 10 AS DOUBLE) + 3.5 AS x, CAST(8568230 - (c_custkey * 104729 % 300 - 20) * 10 AS DOUBLE) - 6.5 AS y, c_custkey % 3 = 0 AS mining"
+#: Points in and around the whole grid, from the customer table: pid, x, y, mining; {rows}: the grid's height.
+POINT = "c_custkey AS pid, CAST(391530 + (c_custkey * 7919 % 300 - 20) * 10 AS DOUBLE) + 3.5 AS x, CAST(8568230 - (c_custkey * 104729 % ({rows} + 44) - 20) * 10 AS DOUBLE) - 6.5 AS y, c_custkey % 3 = 0 AS mining"
 _ROW, _COL = geo.pixel("x", "y")
-#: The first square of the grid; the points lie in and around it.
-INSIDE = f"r BETWEEN 0 AND {SIDE - 1} AND c BETWEEN 0 AND {SIDE - 1}"
-POINTS = f"pt AS (SELECT *, {_ROW} AS r, {_COL} AS c FROM (SELECT {POINT} FROM customer))"
+_ROWS_SQL = "(SELECT (coalesce(max(s_suppkey), 0) // 28 + 1) * 256 FROM supplier)"
+INSIDE = f"r BETWEEN 0 AND {_ROWS_SQL} - 1 AND c BETWEEN 0 AND {SIDE - 1}"
+POINTS = f"pt AS (SELECT *, {_ROW} AS r, {_COL} AS c FROM (SELECT {POINT.format(rows=_ROWS_SQL)} FROM customer))"
 
 
 def points(spark, d) -> DataFrame:
-    found = spark.read.parquet(f"{d}/customer.parquet").selectExpr(*[f"{e}" for e in POINT.split(", ")])
-    return found.selectExpr("*", f"{_ROW} AS r", f"{_COL} AS c")
+    """The points that lie in the grid."""
+    rows = height(spark, d)
+    found = spark.read.parquet(f"{d}/customer.parquet").selectExpr(*POINT.format(rows=rows).split(", "))
+    return found.selectExpr("*", f"{_ROW} AS r", f"{_COL} AS c").where(F.col("r").between(0, rows - 1) & F.col("c").between(0, SIDE - 1))
 
 
 @query(f"WITH {PLANTS}, b AS (SELECT CASE WHEN r < 4 THEN 0 ELSE 255 END AS alpha, CASE WHEN r < 4 THEN 0 ELSE trunc(least(greatest((mdb + 25000) * 255 / 25000, 0), 255))::INT END AS byte FROM sc WHERE k = 0) SELECT alpha, byte, count(*) AS n, CASE WHEN alpha > 0 THEN round(-25 + byte * 25 / 255.0::DOUBLE, 6) END AS db FROM b GROUP BY 1, 2")
@@ -197,12 +199,12 @@ def rf_predict(spark, d):
 @query(f"WITH {PLANTS}, {POINTS} SELECT pid, pt.r, pt.c, mining, mdb FROM pt JOIN sc ON sc.r = pt.r AND sc.c = pt.c AND k = 5")
 def points_sample(spark, d):
     """The scene's value at every point; points outside the grid are dropped."""
-    return points(spark, d).where(INSIDE).join(scene(spark, d), ["r", "c"]).select("pid", "r", "c", "mining", "mdb")
+    return points(spark, d).join(scene(spark, d), ["r", "c"]).select("pid", "r", "c", "mining", "mdb")
 
 
 def near_points(spark, d) -> DataFrame:
     """The points inside the grid, with near: whether anything was detected within 5 pixels."""
-    pt = points(spark, d).where(INSIDE)
+    pt = points(spark, d)
     hit = kernels.spread(pt, 5, "pid").join(_px(spark, d).where("conf > 0").select("r", "c"), ["r", "c"], "left_semi").select("pid").distinct()
     return pt.join(hit.withColumn("near", F.lit(True)), "pid", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
@@ -225,7 +227,7 @@ def points_evaluate(spark, d):
 @query(HOLED + f", {POINTS} SELECT pid, round_even(avg(v) / 1000, 1) AS mean_db, count(v) AS n FROM pt LEFT JOIN v ON v.r BETWEEN pt.r - 1 AND pt.r + 1 AND v.c BETWEEN pt.c - 1 AND pt.c + 1 WHERE pt.{INSIDE.replace('AND c', 'AND pt.c')} GROUP BY pid")
 def points_mean3(spark, d):
     """Mean of the 3 x 3 pixels around every point, without holes and what lies outside; NULL if nothing is left."""
-    around = kernels.spread(points(spark, d).where(INSIDE), 1, "pid").join(holed(spark, d), ["r", "c"], "left")
+    around = kernels.spread(points(spark, d), 1, "pid").join(holed(spark, d), ["r", "c"], "left")
     return around.groupBy("pid").agg(F.bround(F.avg("v") / 1000, 1).alias("mean_db"), F.count("v").alias("n"))
 
 
