@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: The WGS84 ellipsoid and the zone's parameters.
 AXIS, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH, MERIDIAN = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0, -69.0
 _N = FLATTENING / (2 - FLATTENING)
@@ -31,6 +34,22 @@ def lonlat(x: str, y: str) -> tuple[str, str]:
     return f"({_d(MERIDIAN)} + degrees(atan(sinh({eta1}) / cos({xi1}))))", lat
 
 
+def with_lonlat(df: DataFrame, x: str, y: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """df with longitude and latitude of the expressions x and y, step by step, so that no part is computed twice."""
+    stages = [
+        {"_xi": f"(({y}) - {_d(FALSE_NORTH)}) / {_d(SCALE * _RADIUS)}", "_eta": f"(({x}) - {_d(FALSE_EAST)}) / {_d(SCALE * _RADIUS)}"},
+        {
+            "_xi1": "_xi" + "".join(f" - {_d(b)} * sin({2 * j} * _xi) * cosh({2 * j} * _eta)" for j, b in enumerate(_BETA, 1)),
+            "_eta1": "_eta" + "".join(f" - {_d(b)} * cos({2 * j} * _xi) * sinh({2 * j} * _eta)" for j, b in enumerate(_BETA, 1)),
+        },
+        {"_chi": "asin(sin(_xi1) / cosh(_eta1))", lon: f"{_d(MERIDIAN)} + degrees(atan(sinh(_eta1) / cos(_xi1)))"},
+        {lat: "degrees(_chi" + "".join(f" + {_d(d)} * sin({2 * j} * _chi)" for j, d in enumerate(_DELTA, 1)) + ")"},
+    ]
+    for stage in stages:
+        df = df.withColumns({name: F.expr(e) for name, e in stage.items()})
+    return df.drop("_xi", "_eta", "_xi1", "_eta1", "_chi")
+
+
 def utm(lon: str, lat: str) -> tuple[str, str]:
     """Expressions of easting and northing of longitude and latitude in degrees."""
     s, off = f"sin(radians({lat}))", f"radians(({lon}) - {_d(MERIDIAN)})"

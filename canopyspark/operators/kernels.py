@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyspark.config import CONFIG
+from canopyspark.operators import tiles
 
 
 def shifts(reach: int):
@@ -32,17 +31,8 @@ def closing(cells: DataFrame, reach: int, height: int) -> DataFrame:
 
 
 def box_sums(px: DataFrame, reach: int, height: int, *columns: str) -> DataFrame:
-    """Sums of columns over square windows with mirrored edges, in two one-dimensional passes."""
-
-    def halo(x: DataFrame, at: str, side: int) -> DataFrame:
-        mirrored = F.array(F.col(at), F.when(F.col(at) < reach, -1 - F.col(at)), F.when(F.col(at) >= side - reach, 2 * side - 1 - F.col(at)))
-        return x.withColumn(at, F.explode(F.filter(mirrored, lambda v: v.isNotNull())))
-
-    def box(x: DataFrame, by: str, at: str, side: int) -> DataFrame:
-        w = Window.partitionBy(by).orderBy(at).rowsBetween(-reach, reach)
-        return halo(x, at, side).select(by, at, *[F.sum(c).over(w).alias(c) for c in columns]).where(F.col(at).between(0, side - 1))
-
-    return box(box(px.select("r", "c", *columns), "r", "c", CONFIG.side), "c", "r", height)
+    """Sums of columns over square windows with mirrored edges, tile by tile."""
+    return tiles.box_sums(px, reach, height, CONFIG.side, *columns)
 
 
 def _envelope(height: np.ndarray) -> np.ndarray:
@@ -67,23 +57,28 @@ def _envelope(height: np.ndarray) -> np.ndarray:
     return (np.arange(n) - which) ** 2 + height[which]
 
 
+ROWS_A_GROUP = 16
+
+
 def squared_distance(px: DataFrame, seed: str) -> DataFrame:
     """r, c, d2: exact squared distance in pixels to the nearest pixel where seed is true; NULL without seeds.
 
-    Columns first, by windows; then each row is one small group, a line of the raster.
+    Columns first, in parts with carried seeds; then each row by its lower envelope, a few rows a group. Linear in
+    the number of pixels; a group is as long as the raster is wide.
     """
-    at = F.when(F.col(seed), F.col("r"))
-    up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
-    near = F.least(F.col("r") - F.last(at, ignorenulls=True).over(up), F.first(at, ignorenulls=True).over(down) - F.col("r"))
-    columns = px.select("r", "c", near.cast("double").alias("g"))
-
-    def row(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("c")
-        d2 = _envelope(np.where(part["g"].isna(), np.inf, part["g"].to_numpy(float) ** 2))
-        return pd.DataFrame({"r": part["r"], "c": part["c"], "d2": pd.Series(d2, index=part.index).where(np.isfinite(d2)).astype("Int64")})
-
-    return columns.groupBy("r").applyInPandas(row, "r long, c long, d2 long")
+    columns = tiles.column_distance(px, seed)
+
+    def rows(group: pa.Table) -> pa.Table:
+        r, c = group["r"].to_numpy(), group["c"].to_numpy()
+        g = group["g"].cast(pa.float64()).to_numpy(zero_copy_only=False)  # NULL is NaN
+        low = r.min()
+        height = np.full((r.max() - low + 1, c.max() + 1), np.inf)
+        height[r - low, c] = np.where(np.isnan(g), np.inf, g * g)
+        d2 = np.stack([_envelope(line) for line in height])[r - low, c]
+        near = np.where(np.isfinite(d2), d2, 0).astype(np.int64)
+        return pa.table({"r": r, "c": c, "d2": pa.array(near, mask=~np.isfinite(d2))})
+
+    return columns.groupBy(F.floor(F.col("r") / ROWS_A_GROUP)).applyInArrow(rows, "r long, c long, d2 long")
 
 
 def bilinear(px: DataFrame, wanted: DataFrame, value: str) -> DataFrame:

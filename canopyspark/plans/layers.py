@@ -13,7 +13,7 @@ from canopyspark.config import CONFIG
 from canopyspark.functions import geo
 from canopyspark.operators import kernels, rules
 from canopyspark.operators.scratch import written
-from canopyspark.plans.queries import ALERTS, DATES, LABELS, MIRROR, OPENED, PIXELS, PLANTS, _px, alerts_ranked
+from canopyspark.plans.queries import ALERTS, DATES, LABELS, OPENED, PIXELS, PLANTS, _px, alerts_ranked
 from canopyspark.sources.synthetic import height, labels, scenes
 
 SIDE = CONFIG.side
@@ -81,10 +81,16 @@ def calibrate_intensity(spark, d):
     return found.select("row", "col", "n_valid", F.round(power, 6).alias("power"), F.round(10 * F.log10(power), 6).alias("db"))
 
 
-_BOX = f"FROM (SELECT r, c, v, height FROM v, ht) z, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) a, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) b, w y WHERE y.r = {MIRROR.format(x='z.r + a.d', size='z.height')} AND y.c = {MIRROR.format(x='z.c + b.d', size=SIDE)} GROUP BY z.r, z.c"
+def _box_sql(columns: str) -> str:
+    """CTE s (r, c, columns): sums of w over 5 x 5 windows with mirrored edges, in two one-dimensional passes."""
+    names, sums = columns, ", ".join(f"sum({n}) OVER q AS {n}" for n in columns.split(", "))
+    return f"""hx AS (SELECT r, c, {names} FROM w UNION ALL SELECT r, -1 - c, {names} FROM w WHERE c < 2 UNION ALL SELECT r, {2 * SIDE - 1} - c, {names} FROM w WHERE c >= {SIDE - 2}),
+hs AS (SELECT r, c, {sums} FROM hx WINDOW q AS (PARTITION BY r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) QUALIFY c BETWEEN 0 AND {SIDE - 1}),
+vx AS (SELECT r, c, {names} FROM hs UNION ALL SELECT -1 - r, c, {names} FROM hs WHERE r < 2 UNION ALL SELECT 2 * height - 1 - r, c, {names} FROM hs, ht WHERE r >= height - 2),
+s AS (SELECT r, c, {sums} FROM vx WINDOW q AS (PARTITION BY c ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) QUALIFY r BETWEEN 0 AND (SELECT height - 1 FROM ht))"""
 
 
-@query(HOLED + f""", w AS (SELECT r, c, (v IS NOT NULL)::BIGINT AS n, coalesce(v + 30000, 0)::BIGINT AS s1 FROM v), s AS (SELECT z.r, z.c, sum(n)::BIGINT AS n, sum(s1)::BIGINT AS s1, sum(s1 * s1)::BIGINT AS s2 {_BOX}),
+@query(HOLED + f""", w AS (SELECT r, c, (v IS NOT NULL)::BIGINT AS n, coalesce(v + 30000, 0)::BIGINT AS s1, (coalesce(v + 30000, 0) * coalesce(v + 30000, 0))::BIGINT AS s2 FROM v), {_box_sql("n, s1, s2")},
 m AS (SELECT r, c, s1 / n AS mean, greatest(s2 / n - (s1 / n) * (s1 / n), 0) / ((s1 / n) * (s1 / n)) AS ci2 FROM s)
 SELECT r, c, round(mean + CASE WHEN ci2 > 0 THEN least(greatest((ci2 - 0.25::DOUBLE) / (ci2 * 1.25::DOUBLE), 0), 1) ELSE 0 END * (v + 30000 - mean), 4) AS value FROM m JOIN v USING (r, c)""")
 def lee_filter(spark, d):
@@ -99,7 +105,7 @@ def lee_filter(spark, d):
     return sums.join(v, ["r", "c"]).select("r", "c", F.round(mean + weight * (F.col("v") + 30000 - mean), 4).alias("value"))
 
 
-@query(HOLED + f", w AS (SELECT r, c, coalesce(v::DOUBLE, (SELECT avg(v) FROM v)) AS s1 FROM v), s AS (SELECT z.r, z.c, sum(s1) AS s1, sum(s1 * s1) AS s2 {_BOX}) SELECT r, c, round(sqrt(greatest(s2 / 25 - (s1 / 25) * (s1 / 25), 0)), 2) AS texture FROM s")
+@query(HOLED + f", w AS (SELECT r, c, x AS s1, x * x AS s2 FROM (SELECT r, c, coalesce(v::DOUBLE, (SELECT avg(v) FROM v)) AS x FROM v) t), {_box_sql('s1, s2')} SELECT r, c, round(sqrt(greatest(s2 / 25 - (s1 / 25) * (s1 / 25), 0)), 2) AS texture FROM s")
 def texture_std(spark, d):
     """Standard deviation in 5 x 5 windows; holes count as the scene's mean."""
     v = holed(spark, d)
