@@ -182,26 +182,6 @@ def balanced_sample(spark, d):
     return sampled(classed(spark, d)).select("r", "c", "mining")
 
 
-@query(None)
-def rf_predict(spark, d):
-    """Probability of mining per pixel from a random forest on the balanced sample; no rows without both classes."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    texture = texture_std(spark, d)
-    px = classed(spark, d).join(texture, ["r", "c"])
-    names = ["first", "last", "diff", "min_later", "texture", "slope", "worldcover"]
-    # a layer that is absent counts as zeros
-    px = px.withColumn("diff", F.col("first") - F.col("last")).withColumn("slope", F.lit(0)).withColumn("worldcover", F.lit(0))
-    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="skip").transform(px)
-    train = sampled(rows).select(F.col("mining").cast("double").alias("label"), "features")
-    if train.select("label").distinct().count() < 2:
-        return px.select("r", "c", F.lit(0.0).alias("p")).limit(0)
-    model = RandomForestClassifier(numTrees=200, minInstancesPerNode=5, seed=0).fit(train)
-    return model.transform(rows).select("r", "c", vector_to_array("probability")[1].alias("p"))
-
-
 @query(f"WITH {PLANTS}, {POINTS} SELECT pid, pt.r, pt.c, mining, mdb FROM pt JOIN sc ON sc.r = pt.r AND sc.c = pt.c AND k = 5")
 def points_sample(spark, d):
     """The scene's value at every point; points outside the grid are dropped."""

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyspark.sources import rasters
+
 PLACEMARK = "name STRING, Point STRUCT<coordinates: STRING>, MultiGeometry STRUCT<Point: STRUCT<coordinates: STRING>>"
 LINE = "ARRAY<ARRAY<DOUBLE>>"
 #: The nesting of a geometry's coordinates, by its type.
@@ -43,15 +45,26 @@ def read_placemarks(spark: SparkSession, path: str, packed: bool = False) -> Dat
     return found.where("lon IS NOT NULL")
 
 
-def read_calibration(spark: SparkSession, path: str) -> DataFrame:
-    """product, date, look (from 0), offset, gain of calibration tables; the date is in the product folder's name."""
-    docs = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("product"))
+def _calibration(docs: DataFrame) -> DataFrame:
+    """product, date, look (from 0), offset, gain of documents (value, product)."""
     gains = F.split(stripped(F.expr("xpath_string(value, '//gains')")), r"\s+")
     dated = docs.select("product", F.regexp_extract("product", r"_(\d{8})_\d{6}_", 1).alias("day"), F.expr("CAST(xpath_string(value, '//offset') AS DOUBLE)").alias("offset"), gains.alias("gains"))
     dated = dated.withColumn("day", F.when(F.col("day") != "", F.col("day")).otherwise(F.raise_error(F.concat(F.lit("no acquisition date in "), "product"))))
     return dated.select("product", F.to_date("day", "yyyyMMdd").alias("date"), "offset", F.posexplode("gains").alias("look", "gain")).withColumn("gain", F.col("gain").cast("double"))
 
 
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    """product, date, look (from 0), offset, gain of calibration tables; the date is in the product folder's name."""
+    return _calibration(spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("product")))
+
+
+def read_zipped_calibration(spark: SparkSession, path: str, name: str = "lutSigma.xml") -> DataFrame:
+    """The same of the tables inside zip products, whose file names are the products' names; only the table is taken out of each."""
+    spark.dataSource.register(rasters.ZippedText)
+    docs = spark.read.format("zipped_text").option("inner", name).load(path)
+    return _calibration(docs.select("value", F.regexp_replace(F.substring_index("path", "/", -1), r"\.zip$", "").alias("product")))
+
+
 def read_outlines(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """source (file name), doc (a number for each document), feature, part, ring, i, lon, lat of GeoJSON: collections, features or bare geometries, one a file or one a line."""
     geometry = "STRUCT<type: STRING, coordinates: STRING>"
