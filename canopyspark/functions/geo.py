@@ -50,6 +50,22 @@ def with_lonlat(df: DataFrame, x: str, y: str, lon: str = "lon", lat: str = "lat
     return df.drop("_xi", "_eta", "_xi1", "_eta1", "_chi")
 
 
+def with_utm(df: DataFrame, lon: str, lat: str, x: str = "x", y: str = "y") -> DataFrame:
+    """df with easting and northing of the expressions lon and lat in degrees, step by step."""
+    stages = [
+        {"_s": f"sin(radians({lat}))", "_off": f"radians(({lon}) - {_d(MERIDIAN)})"},
+        {"_t": f"sinh(atanh(_s) - {_d(_E)} * atanh({_d(_E)} * _s))"},
+        {"_xi": "atan(_t / cos(_off))", "_eta": "atanh(sin(_off) / sqrt(1 + _t * _t))"},
+        {
+            y: f"{_d(FALSE_NORTH)} + {_d(SCALE * _RADIUS)} * (_xi" + "".join(f" + {_d(a)} * sin({2 * j} * _xi) * cosh({2 * j} * _eta)" for j, a in enumerate(_ALPHA, 1)) + ")",
+            x: f"{_d(FALSE_EAST)} + {_d(SCALE * _RADIUS)} * (_eta" + "".join(f" + {_d(a)} * cos({2 * j} * _xi) * sinh({2 * j} * _eta)" for j, a in enumerate(_ALPHA, 1)) + ")",
+        },
+    ]
+    for stage in stages:
+        df = df.withColumns({name: F.expr(e) for name, e in stage.items()})
+    return df.drop("_s", "_off", "_t", "_xi", "_eta")
+
+
 def utm(lon: str, lat: str) -> tuple[str, str]:
     """Expressions of easting and northing of longitude and latitude in degrees."""
     s, off = f"sin(radians({lat}))", f"radians(({lon}) - {_d(MERIDIAN)})"

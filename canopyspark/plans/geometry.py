@@ -187,23 +187,28 @@ def _vertex(dx: str, dy: str) -> tuple[str, str]:
 
 
 def outlines(spark, d, kind: str) -> DataFrame:
-    """Vertices of the customers' outlines (doc, ring, i, x, y: in pixels), through GeoJSON in degrees."""
+    """Vertices of the customers' outlines (doc, key: the customer, ring, i, x, y: in pixels), through GeoJSON in degrees."""
     place = _PLACE.format(LEFT=geo.LEFT, TOP=geo.TOP, rows=height(spark, d))
     rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k")).selectExpr("k", *place.replace(" AS x0, ", " AS x0;").split(";"))
     rows = rows.where("k % 2 = 0" if kind == "polygon" else "k % 2 = 1")
 
-    def ring(n: int):
-        return F.concat(F.lit("["), F.concat_ws(", ", *[F.expr(f"format_string('[%.6f, %.6f]', {lon}, {lat})") for lon, lat in (_vertex(*p) for p in _RING_SQL[kind, n])]), F.lit("]"))
+    corners = [F.struct(F.lit(n).alias("ring"), F.lit(i).alias("i"), F.expr(dx).cast("long").alias("dx"), F.expr(dy).cast("long").alias("dy")) for (kind_, n), points in _RING_SQL.items() if kind_ == kind for i, (dx, dy) in enumerate(points)]
+    points = rows.select("k", "x0", "y0", F.explode(F.array(*corners)).alias("p")).select("k", "x0", "y0", "p.*").where("ring = 0 OR k % 6 = 0")
+    points = geo.with_lonlat(points, "CAST(x0 + dx AS DOUBLE)", "CAST(y0 + dy AS DOUBLE)").select("k", "ring", "i", F.format_string("[%.6f, %.6f]", "lon", "lat").alias("at"))
 
+    def joined(df: DataFrame, order: str, *by: str) -> DataFrame:
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct(order, "at"))), lambda x: x["at"])
+        return df.groupBy(*by).agg(F.concat(F.lit("["), F.array_join(in_order, ", "), F.lit("]")).alias("at"))
+
+    rows = joined(points, "i", "k", "ring")
     if kind == "polygon":
-        coordinates = F.concat(F.lit('"Polygon", "coordinates": ['), ring(0), F.when(F.expr(_WHEN["polygon", 1]), F.concat(F.lit(", "), ring(1))).otherwise(""), F.lit("]"))
+        rows, coordinates = joined(rows, "ring", "k"), F.concat(F.lit('"Polygon", "coordinates": '), "at")
     else:
-        coordinates = F.concat(F.lit('"LineString", "coordinates": '), ring(0))
+        coordinates = F.concat(F.lit('"LineString", "coordinates": '), "at")
     path = shared_dir(spark, f"outlines-{kind}")
-    rows.select(F.concat(F.lit('{"type": "Feature", "properties": {}, "geometry": {"type": '), coordinates, F.lit("}}"))).write.text(path)
-    x, y = geo.utm("lon", "lat")
-    found = files.read_outlines(spark, path, lines=True)
-    return found.select("doc", "ring", "i", ((F.expr(x) - geo.LEFT) / geo.RES).alias("x"), ((geo.TOP - F.expr(y)) / geo.RES).alias("y"))
+    rows.select(F.concat(F.lit('{"type": "Feature", "properties": {"key": '), "k", F.lit('}, "geometry": {"type": '), coordinates, F.lit("}}"))).write.text(path)
+    found = geo.with_utm(files.read_outlines(spark, path, lines=True), "lon", "lat")
+    return found.select("doc", F.get_json_object("properties", "$.key").cast("long").alias("key"), "ring", "i", ((F.col("x") - geo.LEFT) / geo.RES).alias("x"), ((geo.TOP - F.col("y")) / geo.RES).alias("y"))
 
 
 def _edges_sql(kind: str) -> str:

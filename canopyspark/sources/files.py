@@ -66,12 +66,12 @@ def read_zipped_calibration(spark: SparkSession, path: str, name: str = "lutSigm
 
 
 def read_outlines(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """source (file name), doc (a number for each document), feature, part, ring, i, lon, lat of GeoJSON: collections, features or bare geometries, one a file or one a line."""
+    """source (file name), doc (a number for each document), feature, properties (as JSON), part, ring, i, lon, lat of GeoJSON: collections, features or bare geometries, one a file or one a line."""
     geometry = "STRUCT<type: STRING, coordinates: STRING>"
-    schema = f"type STRING, coordinates STRING, geometry {geometry}, features ARRAY<STRUCT<geometry: {geometry}>>"
+    schema = f"type STRING, coordinates STRING, properties STRING, geometry {geometry}, features ARRAY<STRUCT<properties: STRING, geometry: {geometry}>>"
     docs = spark.read.text(path, wholetext=not lines).select(F.from_json("value", schema).alias("d"), F.substring_index(F.input_file_name(), "/", -1).alias("source"), F.monotonically_increasing_id().alias("doc"))
-    single = F.array(F.struct(F.coalesce("d.geometry", F.struct("d.type", "d.coordinates")).alias("geometry")))
-    each = docs.select("source", "doc", F.posexplode(F.coalesce("d.features", single)).alias("feature", "f")).select("source", "doc", "feature", "f.geometry.type", "f.geometry.coordinates")
+    single = F.array(F.struct("d.properties", F.coalesce("d.geometry", F.struct("d.type", "d.coordinates")).alias("geometry")))
+    each = docs.select("source", "doc", F.posexplode(F.coalesce("d.features", single)).alias("feature", "f")).select("source", "doc", "feature", "f.properties", "f.geometry.type", "f.geometry.coordinates")
 
     parts = None
     for kind, nested in NESTED.items():
@@ -80,5 +80,5 @@ def read_outlines(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         for _ in range(4 - depth):
             at = F.array(at)
         parts = F.when(F.col("type") == kind, at) if parts is None else parts.when(F.col("type") == kind, at)
-    rings = each.select("source", "doc", "feature", F.posexplode(parts).alias("part", "rings")).select("source", "doc", "feature", "part", F.posexplode("rings").alias("ring", "at"))
-    return rings.select("source", "doc", "feature", "part", "ring", F.posexplode("at").alias("i", "p")).select("source", "doc", "feature", "part", "ring", "i", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"))
+    rings = each.select("source", "doc", "feature", "properties", F.posexplode(parts).alias("part", "rings")).select("source", "doc", "feature", "properties", "part", F.posexplode("rings").alias("ring", "at"))
+    return rings.select("source", "doc", "feature", "properties", "part", "ring", F.posexplode("at").alias("i", "p")).select("source", "doc", "feature", "properties", "part", "ring", "i", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"))
