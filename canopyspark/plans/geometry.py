@@ -245,3 +245,24 @@ def lines_burn(spark, d):
     """Cells that a line passes through, with the number of lines there."""
     found = burn.edges(written(outlines(spark, d, "line"), "line-vertices"), "doc", closed=False)
     return burn.line_cells(found, "doc", height=height(spark, d), width=SIDE).groupBy("r", "c").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PLANTS}, {_edges_sql('polygon')}, bb AS (SELECT k, floor(min(least(x1, x2)))::BIGINT - 1 AS c0, floor(max(greatest(x1, x2)))::BIGINT + 1 AS c1, floor(min(least(y1, y2)))::BIGINT - 1 AS r0, floor(max(greatest(y1, y2)))::BIGINT + 1 AS r1 FROM e GROUP BY k),
+rr AS (SELECT k, c0, c1, unnest(range(r0, r1 + 1)) AS r FROM bb), cell AS (SELECT k, r, unnest(range(c0, c1 + 1)) AS c FROM rr),
+hit AS (SELECT cell.k, r, c FROM cell JOIN e ON e.k = cell.k AND (y1 <= r + 0.5::DOUBLE) <> (y2 <= r + 0.5::DOUBLE) AND x1 + (r + 0.5::DOUBLE - y1) * (x2 - x1) / (y2 - y1) <= c + 0.5::DOUBLE GROUP BY cell.k, r, c HAVING count(*) % 2 = 1)
+SELECT k AS poly, count(*) AS n, min(r) AS top, max(r) AS bottom, sum(c)::BIGINT AS place FROM hit WHERE {_INSIDE} GROUP BY k""")
+def polygon_burn(spark, d):
+    """Every outline's cells on the grid: how many, its first and last row, the sum of their columns."""
+    found = burn.edges(written(outlines(spark, d, "polygon"), "outline-vertices"), "key", "ring", closed=False)
+    cells = burn.polygon_cells(found, "key", height=height(spark, d), width=SIDE)
+    return cells.groupBy(F.col("key").alias("poly")).agg(F.count("*").alias("n"), F.min("r").alias("top"), F.max("r").alias("bottom"), F.sum("c").alias("place"))
+
+
+@query(f"""WITH {PLANTS}, {_edges_sql('line')}, rr AS (SELECT *, unnest(range(floor(least(y1, y2))::BIGINT, floor(greatest(y1, y2))::BIGINT + 1)) AS r FROM e),
+sp AS (SELECT k, r, CASE WHEN y1 = y2 THEN x1 ELSE x1 + (greatest(r::DOUBLE, least(y1, y2)) - y1) * (x2 - x1) / (y2 - y1) END AS a, CASE WHEN y1 = y2 THEN x2 ELSE x1 + (least(r + 1.0::DOUBLE, greatest(y1, y2)) - y1) * (x2 - x1) / (y2 - y1) END AS b FROM rr),
+cell AS (SELECT DISTINCT k, r, unnest(range(floor(least(a, b))::BIGINT, floor(greatest(a, b))::BIGINT + 1)) AS c FROM sp) SELECT k AS line, count(*) AS n, min(r) AS top, max(r) AS bottom, sum(c)::BIGINT AS place FROM cell WHERE {_INSIDE} GROUP BY k""")
+def line_burn(spark, d):
+    """The same of the cells that every line touches."""
+    found = burn.edges(written(outlines(spark, d, "line"), "line-vertices"), "key", closed=False)
+    cells = burn.line_cells(found, "key", height=height(spark, d), width=SIDE)
+    return cells.groupBy(F.col("key").alias("line")).agg(F.count("*").alias("n"), F.min("r").alias("top"), F.max("r").alias("bottom"), F.sum("c").alias("place"))

@@ -38,6 +38,19 @@ def sql_values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
 
 
+def _split_columns(columns: str) -> list[str]:
+    """The expressions of a list of columns, cut at commas outside brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for ch in columns:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [x.strip() for x in out]
+
+
 _RATES = "days, greatest(days, 1) / 30.4375 AS months, inside_px / 100 AS inside_ha, outside_px / 100 AS outside_ha"
 
 
@@ -141,31 +154,38 @@ def year_labels(spark, d):
     return years.select("year", "n", F.col("year").between(1, 2019).alias("mining"), F.col("year").between(first, 2020).alias("is_new"))
 
 
-PINS = [("Mine A", "-70.01,-13.00,0"), (" Pond 2 ", "-69.95 , -12.99"), ("NOT MINING 3", "-69.9,-12.9,12"), ("Settlement", "-70.0 -13.0"), (None, "-69.5,-12.5"), ("Mine A", "-70.01, -13.00, 0"), ("mining camp", " -69.7,-12.7 "), ("Pond 2", "-69.95,-12.99")]
+#: Pins from the customer table: every place comes several times, its text spaced in another way.
+_PIN = """c_custkey AS place, CASE j % 6 WHEN 0 THEN 'Mine A' WHEN 1 THEN concat('Pond ', j % 50) WHEN 2 THEN 'NOT MINING 3' WHEN 3 THEN 'Settlement' WHEN 4 THEN NULL ELSE 'mining camp' END AS plain,
+  concat('-70.', lpad(CAST(j * 7 % 1000 AS {text}), 3, '0')) AS lon_text, concat('-12.', lpad(CAST(j * 13 % 1000 AS {text}), 3, '0')) AS lat_text"""
+_PIN_TEXT = "place, CASE WHEN place % 3 = 0 THEN concat(' ', plain, ' ') ELSE plain END AS name, concat(CASE WHEN place % 2 = 0 THEN ' ' ELSE '' END, lon_text, CASE place % 4 WHEN 0 THEN ',' WHEN 1 THEN ' , ' WHEN 2 THEN ' ' ELSE ', ' END, lat_text, CASE WHEN place % 5 = 0 THEN ',0' ELSE '' END) AS coords"
 _PIN_MINING = "CAST((contains(upper(name), 'MIN') OR contains(upper(name), 'POND')) AND NOT contains(upper(name), 'NOT') AS INT)"
 
 
-@query(f"WITH p AS (SELECT place, trim(coalesce(name, '')) AS name, regexp_split_to_array(trim(coords), '[,\\s]+') AS a FROM {sql_values([(i, *p) for i, p in enumerate(PINS)], 'place, name, coords')}), q AS (SELECT place, name, a[1]::DOUBLE AS lon, a[2]::DOUBLE AS lat FROM p) SELECT name, lon, lat, {_PIN_MINING} AS mining FROM q QUALIFY row_number() OVER (PARTITION BY name, lon, lat ORDER BY place) = 1")
+@query(f"WITH r AS (SELECT {_PIN.format(text='VARCHAR')} FROM (SELECT c_custkey, c_custkey % 400 AS j FROM customer)), t AS (SELECT {_PIN_TEXT} FROM r), p AS (SELECT place, trim(coalesce(name, '')) AS name, regexp_split_to_array(trim(coords), '[,\\s]+') AS a FROM t), q AS (SELECT place, name, a[1]::DOUBLE AS lon, a[2]::DOUBLE AS lat FROM p) SELECT place, name, lon, lat, {_PIN_MINING} AS mining FROM q QUALIFY row_number() OVER (PARTITION BY name, lon, lat ORDER BY place) = 1")
 def pin_classify_dedupe(spark, d):
     """Placemarks to check points: coordinates from text, class from the name, the first of equal pins."""
-    p = values(spark, [(i, *p) for i, p in enumerate(PINS)], "place int, name string, coords string")
+    raw = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey", "c_custkey % 400 AS j").select(F.expr("c_custkey AS place"), *[F.expr(e) for e in _split_columns(_PIN.format(text="STRING"))[1:]])
+    p = raw.selectExpr(*_split_columns(_PIN_TEXT))
     a = F.split(F.trim("coords"), r"[,\s]+")
     p = p.select("place", F.trim(F.coalesce("name", F.lit(""))).alias("name"), a[0].cast("double").alias("lon"), a[1].cast("double").alias("lat"))
     first = F.row_number().over(Window.partitionBy("name", "lon", "lat").orderBy("place"))
-    return p.withColumn("n", first).where("n = 1").selectExpr("name", "lon", "lat", f"{_PIN_MINING} AS mining")
+    return p.withColumn("n", first).where("n = 1").selectExpr("place", "name", "lon", "lat", f"{_PIN_MINING} AS mining")
 
 
-FILES = [("sigma0_20190105.tif",), ("sigma0_20181201.tif",), ("sigma0_2019.tif",), ("sigma0_20190301.tif.aux.xml",), ("S1A_IW_SLC__1SDV_20190601_101112_x.zip",), ("worldcover.tif",), ("sigma0_20200301.tif",)]
+#: File names from the orders' days: scenes, products, and names that are neither.
+_FILE = "CASE WHEN o_orderkey % 7 < 4 THEN concat('sigma0_', day, '.tif') WHEN o_orderkey % 7 = 4 THEN concat('sigma0_', substr(day, 1, 4), '.tif') WHEN o_orderkey % 7 = 5 THEN concat('sigma0_', day, '.tif.aux.xml') ELSE concat('S1A_IW_SLC__1SDV_', day, '_101112_x.zip') END"
+_LABEL_DAY = "19960301"
 
 
-@query(rf"WITH f AS (SELECT name, coalesce(nullif(regexp_extract(name, '^sigma0_(\d{{8}})\.tif$', 1), ''), nullif(regexp_extract(name, '_(\d{{8}})_\d{{6}}_', 1), '')) AS day FROM {sql_values(FILES, 'name')}) SELECT name, strftime(strptime(day, '%Y%m%d'), '%Y-%m-%d') AS iso, day[:4]::INT AS year, (row_number() OVER (ORDER BY day) - 1)::INT AS k, day = max(day) OVER () AS is_last, coalesce(max(CASE WHEN day <= '20190301' THEN day END) OVER (), min(day) OVER ()) AS label_day FROM f WHERE day IS NOT NULL")
+@query(rf"WITH n AS (SELECT DISTINCT {_FILE} AS name FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day FROM orders)), f AS (SELECT name, coalesce(nullif(regexp_extract(name, '^sigma0_(\d{{8}})\.tif$', 1), ''), nullif(regexp_extract(name, '_(\d{{8}})_\d{{6}}_', 1), '')) AS day FROM n) SELECT name, strftime(strptime(day, '%Y%m%d'), '%Y-%m-%d') AS iso, day[:4]::INT AS year, (row_number() OVER (ORDER BY day, name) - 1)::INT AS k, day = max(day) OVER () AS is_last, coalesce(max(CASE WHEN day <= '{_LABEL_DAY}' THEN day END) OVER (), min(day) OVER ()) AS label_day FROM f WHERE day IS NOT NULL")
 def scene_files(spark, d):
-    """Scenes from file names, oldest first, with the latest one and the last one not after the label date."""
+    """Scenes from file names, oldest first, with the latest one and the last one not after the label date; a row for each file of an archive."""
     name = F.col("name")
     day = F.coalesce(F.nullif(F.regexp_extract(name, r"^sigma0_(\d{8})\.tif$", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"_(\d{8})_\d{6}_", 1), F.lit("")))
-    f = values(spark, FILES, "name string").select("name", day.alias("day")).where("day IS NOT NULL")
-    every = f.agg(F.max("day").alias("last"), F.coalesce(F.max(F.when(F.col("day") <= "20190301", F.col("day"))), F.min("day")).alias("label_day")).first()
-    k = (F.row_number().over(Window.orderBy("day")) - 1).alias("k")
+    names = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("day")).selectExpr(f"{_FILE} AS name").distinct()
+    f = names.select("name", day.alias("day")).where("day IS NOT NULL")
+    every = f.agg(F.max("day").alias("last"), F.coalesce(F.max(F.when(F.col("day") <= _LABEL_DAY, F.col("day"))), F.min("day")).alias("label_day")).first()
+    k = (F.row_number().over(Window.orderBy("day", "name")) - 1).alias("k")
     return f.select("name", F.date_format(F.to_date("day", "yyyyMMdd"), "yyyy-MM-dd").alias("iso"), F.substring("day", 1, 4).cast("int").alias("year"), k, (F.col("day") == every["last"]).alias("is_last"), F.lit(every["label_day"]).alias("label_day"))
 
 
@@ -231,17 +251,19 @@ def card_text(spark, d):
     return s.selectExpr("inside", "before", "after", *[e.strip() for e in _CARD.format(text="STRING").replace(", CASE", ";CASE").replace(", CAST(ceil", ";CAST(ceil").replace(", low_year", ";low_year").split(";")])
 
 
-TEXTS = [("plain",), ("a < b & c > d",), ('say "hi", twice',), ("two\nlines",), ("</script>",), ("",)]
+#: What people said, with characters that need care around it.
+_SAID = "concat('<', role, '> \"', conv_id, '\", </i> & ', coalesce(text, ''))"
 
 
-@query(f"SELECT s, {escaped('s')} AS xml, {escaped(escaped('s'), QUOTES)} AS html, {csv_field('s')} AS csv, replace(s, '</', '<\\/') AS page, base64(encode(s)) AS b64 FROM {sql_values(TEXTS, 's')}")
+@query(f"WITH t AS (SELECT conv_id, turn, {_SAID} AS s FROM conversations) SELECT conv_id, turn, md5({escaped('s')}) AS xml, md5({escaped(escaped('s'), QUOTES)}) AS html, md5({csv_field('s')}) AS csv, md5(replace(s, '</', '<\\/')) AS page, md5(base64(encode(s))) AS b64 FROM t")
 def escape_text(spark, d):
-    """Text made safe for XML, HTML, CSV and a script in a page, and as base64."""
-    t = values(spark, TEXTS, "s string")
+    """Text made safe for XML, HTML, CSV and a script in a page, and as base64; hashes of each form."""
+    t = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", f"{_SAID} AS s")
     html = F.col("s")
     for plain, safe in XML + QUOTES:
         html = F.replace(html, F.lit(plain), F.lit(safe))
-    return t.select("s", F.expr(escaped("s")).alias("xml"), html.alias("html"), F.expr(csv_field("s")).alias("csv"), F.replace("s", F.lit("</"), F.lit("<\\/")).alias("page"), F.base64(F.encode("s", "utf-8")).alias("b64"))
+    forms = {"xml": F.expr(escaped("s")), "html": html, "csv": F.expr(csv_field("s")), "page": F.replace("s", F.lit("</"), F.lit("<\\/")), "b64": F.base64(F.encode("s", "utf-8"))}
+    return t.select("conv_id", "turn", *[F.md5(x.cast("binary")).alias(n) for n, x in forms.items()])
 
 
 _KINDS = {"all": "true", "high": "o_orderstatus = 'F'", "medium": "o_orderstatus <> 'F'", "pond": "o_custkey % 3 = 0", "bare": "o_custkey % 3 = 1", "clearing": "o_custkey % 3 = 2", "buffer": "o_custkey % 5 = 0", "indigenous": "o_custkey % 7 = 0"}
@@ -317,18 +339,26 @@ def zone_mask(spark, d):
 
 _W, _S, _E, _N = _BOX
 _UX, _UY = geo.utm("lon", "lat")
-_EDGE = f"unnest([{_W} + t * {_E - _W!r} / 21, {_W} + t * {_E - _W!r} / 21, {_W}::DOUBLE, {_E}::DOUBLE]) AS lon, unnest([{_S}::DOUBLE, {_N}::DOUBLE, {_S} + t * {_N - _S!r} / 21, {_S} + t * {_N - _S!r} / 21]) AS lat"
+#: Boxes in degrees, one a nation, around its customers' places.
+_AOI = "c_nationkey AS box, min({lon}) AS w, min({lat}) AS s, max({lon}) AS e, max({lat}) AS n"
+_CUSTOMER_LON, _CUSTOMER_LAT = "-(70000000 + c_custkey * 7919 % 900000) / {million}", "-(12000000 + c_custkey * 104729 % 900000) / {million}"
+_GRID = "CAST(floor(x0 / 10) * 10 AS BIGINT) AS left_m, CAST(ceil(y1 / 10) * 10 AS BIGINT) AS top_m, CAST(ceil(x1 / 10) - floor(x0 / 10) AS BIGINT) AS width, CAST(ceil(y1 / 10) - floor(y0 / 10) AS BIGINT) AS height"
 
 
-@query(f"WITH e AS (SELECT {_EDGE} FROM (SELECT i::DOUBLE AS t FROM range(22) r(i))), u AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT {_UX} AS x, {_UY} AS y FROM e)) SELECT (floor(x0 / 10) * 10)::BIGINT AS left_m, (ceil(y1 / 10) * 10)::BIGINT AS top_m, (ceil(x1 / 10) - floor(x0 / 10))::BIGINT AS width, (ceil(y1 / 10) - floor(y0 / 10))::BIGINT AS height FROM u")
+@query(f"WITH b AS (SELECT {_AOI.format(lon=_CUSTOMER_LON.format(million='1000000::DOUBLE'), lat=_CUSTOMER_LAT.format(million='1000000::DOUBLE'))} FROM customer GROUP BY c_nationkey), e AS (SELECT box, unnest([w + t * (e - w) / 21, w + t * (e - w) / 21, w, e]) AS lon, unnest([s, n, s + t * (n - s) / 21, s + t * (n - s) / 21]) AS lat FROM b, (SELECT i::DOUBLE AS t FROM range(22) r(i))), u AS (SELECT box, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT box, {_UX} AS x, {_UY} AS y FROM e) GROUP BY box) SELECT box, {_GRID} FROM u")
 def grid_bounds(spark, d):
-    """The grid of a box in degrees: metric bounds over densified edges, snapped outward to whole pixels."""
-    t = F.col("id").cast("double")
-    lon, lat = F.lit(_W) + t * (_E - _W) / 21, F.lit(_S) + t * (_N - _S) / 21
-    at = F.explode(F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((lon, F.lit(_S)), (lon, F.lit(_N)), (F.lit(_W), lat), (F.lit(_E), lat))]))
-    edge = spark.range(22).select(at.alias("p")).select("p.*").selectExpr(f"{_UX} AS x", f"{_UY} AS y")
-    u = edge.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return u.selectExpr("CAST(floor(x0 / 10) * 10 AS BIGINT) AS left_m", "CAST(ceil(y1 / 10) * 10 AS BIGINT) AS top_m", "CAST(ceil(x1 / 10) - floor(x0 / 10) AS BIGINT) AS width", "CAST(ceil(y1 / 10) - floor(y0 / 10) AS BIGINT) AS height")
+    """The grids of boxes in degrees: metric bounds over densified edges, snapped outward to whole pixels."""
+    lon, lat = (x.format(million="1000000D") for x in (_CUSTOMER_LON, _CUSTOMER_LAT))
+    return grids_of(spark.read.parquet(f"{d}/customer.parquet").groupBy("c_nationkey").agg(*[F.expr(x) for x in _split_columns(_AOI.format(lon=lon, lat=lat))[1:]]).withColumnRenamed("c_nationkey", "box"))
+
+
+def grids_of(boxes):
+    """box, left_m, top_m, width and height of boxes (box, w, s, e, n)."""
+    t = F.explode(F.sequence(F.lit(0), F.lit(21))).alias("t")
+    lon, lat = F.col("w") + F.col("t") * (F.col("e") - F.col("w")) / 21, F.col("s") + F.col("t") * (F.col("n") - F.col("s")) / 21
+    at = F.explode(F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((lon, F.col("s")), (lon, F.col("n")), (F.col("w"), lat), (F.col("e"), lat))]))
+    edge = geo.with_utm(boxes.select("*", t).select("box", at.alias("p")).select("box", "p.*"), "lon", "lat")
+    return edge.groupBy("box").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).selectExpr("box", *_split_columns(_GRID))
 
 
 #: An overlay of 1000 pixels' width over the box, its height by the cosine of the middle latitude.
@@ -342,36 +372,6 @@ def overlay_points(spark, d):
     return placed(spark, d).selectExpr("pid", "lon", "lat", *_OVER_PARTS)
 
 
-RINGS = [(1, [(10.2, 10.1), (60.7, 20.3), (50.4, 70.9), (15.5, 55.2)]), (2, [(100.1, 100.3), (150.9, 100.3), (150.9, 140.2), (125.3, 115.7), (100.1, 140.2)])]
-EDGES = [(p, *ring[i], *ring[(i + 1) % len(ring)]) for p, ring in RINGS for i in range(len(ring))]
-_EDGES_SQL = sql_values(EDGES, "poly, x1, y1, x2, y2")
-
-
-@query(f"WITH e AS (SELECT poly, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM {_EDGES_SQL}) SELECT poly, r, c FROM e, range({SIDE}) a(r), range({SIDE}) b(c) WHERE (y1 <= r + 0.5::DOUBLE) <> (y2 <= r + 0.5::DOUBLE) AND x1 + (r + 0.5::DOUBLE - y1) * (x2 - x1) / (y2 - y1) <= c + 0.5::DOUBLE GROUP BY poly, r, c HAVING count(*) % 2 = 1")
-def polygon_burn(spark, d):
-    """Pixels whose centre lies in a polygon: edges meet row centres, crossings pair up to spans."""
-    e = values(spark, EDGES, "poly int, x1 double, y1 double, x2 double, y2 double")
-    low, high = F.ceil(F.least("y1", "y2") - 0.5), F.ceil(F.greatest("y1", "y2") - 0.5) - 1
-    rows = e.where("y1 <> y2").withColumn("r", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
-    rows = rows.where((F.col("y1") <= F.col("r") + 0.5) != (F.col("y2") <= F.col("r") + 0.5))
-    x = F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    spans = rows.select("poly", "r", x.alias("x")).groupBy("poly", "r").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("xs", 2 * i) - 0.5).alias("a"), (F.ceil(F.get("xs", 2 * i + 1) - 0.5) - 1).alias("b"))))
-    return spans.select("poly", "r", pair.alias("s")).where("s.b >= s.a").select("poly", "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
-
-
-_STEPS = 512
-
-
-@query(f"WITH e AS (SELECT poly, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM {_EDGES_SQL}) SELECT DISTINCT poly, floor(y1 + (y2 - y1) * i / {_STEPS})::BIGINT AS r, floor(x1 + (x2 - x1) * i / {_STEPS})::BIGINT AS c FROM e, range({_STEPS + 1}) t(i)")
-def line_burn(spark, d):
-    """Pixels that a line touches, by fine steps along every edge."""
-    e = values(spark, EDGES, "poly int, x1 double, y1 double, x2 double, y2 double")
-    i = F.explode(F.sequence(F.lit(0), F.lit(_STEPS)))
-    at = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / _STEPS)
-    return e.withColumn("i", i).select("poly", at("y1", "y2").alias("r"), at("x1", "x2").alias("c")).distinct()
-
-
 _ALON, _ALAT = geo.lonlat(*geo.centre("row_c", "col_c"))
 _TITLE = "concat(CASE type WHEN 'pond' THEN 'Mining pond' WHEN 'bare' THEN 'Bare sand or tailings' ELSE 'Fresh clearing' END, CASE WHEN dist_river <= 300 THEN ' near a river' WHEN dist_road <= 1000 THEN ' near a road' ELSE '' END)"
 _WORDS = f"{_TITLE} AS title, CASE WHEN in_buffer = 1 AND in_indigenous = 1 THEN 'Buffer zone, Indigenous land' WHEN in_buffer = 1 THEN 'Buffer zone' WHEN in_indigenous = 1 THEN 'Indigenous land' ELSE 'None' END AS flags"

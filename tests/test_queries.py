@@ -22,7 +22,7 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the generated tables")
-@pytest.mark.parametrize("name", ["lee_filter", "closing5", "edt_distance", "points_mean3", "warp_bilinear", "mosaic_first", "loss_timeline", "model_compare", "point_series", "nearby5", "pool_filters", "export_geojson", "export_csv", "polygon_burn", "rule_detect", "opening3", "patch_stats", "alerts_ranked", "crackdown_table", "evaluate4", "texture5", "order_pool_filters"])
+@pytest.mark.parametrize("name", ["lee_filter", "closing5", "edt_distance", "points_mean3", "warp_bilinear", "mosaic_first", "loss_timeline", "model_compare", "point_series", "nearby5", "pool_filters", "export_geojson", "export_csv", "polygon_burn", "line_burn", "grid_bounds", "scene_files", "pin_classify_dedupe", "escape_text", "rule_detect", "opening3", "patch_stats", "alerts_ranked", "crackdown_table", "evaluate4", "texture5", "order_pool_filters"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):
@@ -38,7 +38,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_grid_of_the_published_box(spark):
-    assert tuple(reports.grid_bounds(spark, str(DATA)).first()) == (391530, 8568230, 1089, 890)
+    box = spark.createDataFrame([(1, *reports._BOX)], "box int, w double, s double, e double, n double")
+    assert tuple(reports.grids_of(box).first()) == (1, 391530, 8568230, 1089, 890)
 
 
 def test_projection_round_trip(spark):
