@@ -262,7 +262,7 @@ def escape_text(spark, d):
     html = F.col("s")
     for plain, safe in XML + QUOTES:
         html = F.replace(html, F.lit(plain), F.lit(safe))
-    forms = {"xml": F.expr(escaped("s")), "html": html, "csv": F.expr(csv_field("s")), "page": F.replace("s", F.lit("</"), F.lit("<\\/")), "b64": F.base64(F.encode("s", "utf-8"))}
+    forms = {"xml": F.expr(escaped("s")), "html": html, "csv": F.expr(csv_field("s")), "page": F.replace("s", F.lit("</"), F.lit("<\\/")), "b64": F.translate(F.base64(F.encode("s", "utf-8")), "\r\n", "")}  # Spark breaks its lines
     return t.select("conv_id", "turn", *[F.md5(x.cast("binary")).alias(n) for n, x in forms.items()])
 
 
