@@ -3,15 +3,18 @@
 Every 100-byte window of a text has a key, its smallest 16-byte hash; equal windows have equal keys.
 Neighbouring windows of one key form a context (their bytes, WINDOW - 1 more than windows). Contexts
 whose key occurs once are dropped, unless their smallest 16-byte string recurs in
-them, as it does where a text of short period holds a window twice; equal contexts are one row with their earliest place. Contexts are
-dealt by key, and each task sorts the suffixes of its contexts: suffixes smaller than their successor
+them, as it does where a text of short period holds a window twice. Contexts are
+dealt by key, and each task sorts the suffixes of its contexts, where contexts of equal bytes are one
+string with several places: suffixes smaller than their successor
 are sorted directly, the rest are induced by scanning the buckets of first bytes in ascending order.
 Adjacent common prefixes of WINDOW bytes or more then give the groups of equal windows, and all but
-the earliest of a group are removed. The other places of a repeated context lose all its windows.
+the earliest place of a group are removed.
 
-A key with more than HOT_BYTES of different contexts (the edge of a passage that very many documents
-share) is not left to one task: each of its windows is grouped by its own 128-bit hash, with map-side
-combine, which has the same result.
+A key with more than HOT_BYTES of contexts is salted into buckets of about that size, each sorted by
+itself. What is left of a bucket, its earliest windows, goes to a second sort by key; of a passage with
+very many copies little is left. A key that still has more than HOT_BYTES (the edge of a passage that
+very many documents share) is not left to one task: each of its windows is grouped by its own 128-bit
+hash, with map-side combine, which has the same result.
 
 Defined results: null text is the empty text; texts below WINDOW bytes stay whole; rows with a null
 doc_id take no part and stay whole; rows that repeat a doc_id with other text are ordered by a hash of
@@ -164,22 +167,23 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def later_windows(strings: list[bytes], doc_ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """True per window (of all strings, in order) that equals an earlier window of these strings."""
+def later_windows(strings: list[bytes], which: np.ndarray) -> np.ndarray:
+    """True per window that equals an earlier one: of strings[which[0]], strings[which[1]] and so on, in order."""
     lengths = np.array([len(s) for s in strings])
     text = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: it becomes 0
     owner = np.repeat(np.arange(len(strings)), lengths + 1)
-    offset = np.arange(len(text)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
-    starts = offset <= (lengths - WINDOW)[owner]
+    head = np.cumsum(lengths + 1) - lengths - 1
+    starts = np.arange(len(text)) - head[owner] <= (lengths - WINDOW)[owner]
     order = suffix_order(text, starts)
     order = order[starts[order]]
-    group = np.cumsum(common_prefixes(text, order) < WINDOW)
-    doc, place = doc_ids[owner[order]], places[owner[order]] + offset[order]
-    by = np.lexsort((place, doc, group))
-    first = np.append(True, group[by][1:] != group[by][:-1])
-    later = np.zeros(len(text), bool)
-    later[order[by[~first]]] = True
-    return later[starts]
+    group = np.zeros(len(text), np.int64)
+    group[order] = np.cumsum(common_prefixes(text, order) < WINDOW)
+    sizes = (lengths - WINDOW + 1)[which]
+    at = np.repeat(head[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    group = group[at]
+    first = np.zeros(len(text) + 1, np.int64)
+    first[group[::-1]] = np.arange(len(group))[::-1]  # the last to be written is the earliest
+    return first[group] != np.arange(len(group))
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,17 +193,15 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(parts: list) -> pa.RecordBatch:
-        key, ctx, doc, place, n, again = map(np.concatenate, zip(*parts, strict=True))
-        return pa.RecordBatch.from_pydict({"key": pa.array(key), "ctx": pa.array(ctx), "doc_id": pa.array(doc), "place": pa.array(place), "n": pa.array(n), "again": pa.array(again)})
+        key, doc, place, n, again = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "doc_id": pa.array(doc), "place": pa.array(place), "n": pa.array(n), "again": pa.array(again)})
 
     for batch in batches:
         parts, held = [], 0
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             data = text.encode()
             key, start, size, again = contexts(data)
-            stop = start + size + WINDOW - 1
-            ctx = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.uint64)
-            parts.append((key, ctx.view(np.int64), np.full(len(key), doc, np.int64), start + tie_of(data), size.astype(np.int32), again))
+            parts.append((key, np.full(len(key), doc, np.int64), start + tie_of(data), size.astype(np.int32), again))
             held += len(key)
             if held >= BATCH_ROWS:
                 yield rows(parts)
@@ -212,12 +214,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each document."""
 
     def rows(parts: list, pieces: list[bytes]) -> pa.RecordBatch:
-        key, doc, place, hot = map(np.concatenate, zip(*parts, strict=True))
-        return pa.RecordBatch.from_pydict({"key": pa.array(key), "doc_id": pa.array(doc), "place": pa.array(place), "hot": pa.array(hot), "data": pa.array(pieces, pa.binary())})
+        key, bucket, doc, place, heavy = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "bucket": pa.array(bucket), "doc_id": pa.array(doc), "place": pa.array(place), "heavy": pa.array(heavy), "data": pa.array(pieces, pa.binary())})
 
     for batch in batches:
         ends = batch["wanted"].offsets.to_numpy()
-        key, place, n, hot = (c.to_numpy(zero_copy_only=False) for c in batch["wanted"].values.flatten())
+        key, bucket, place, n, heavy = (c.to_numpy(zero_copy_only=False) for c in batch["wanted"].values.flatten())
         parts, pieces = [], []
         for i, (doc, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
             data = text.encode()
@@ -227,7 +229,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in np.split(mine, np.arange(BATCH_ROWS, len(mine), BATCH_ROWS)):
                 start = place[at] - tie
                 pieces += [data[a:b] for a, b in zip(start.tolist(), (start + n[at] + WINDOW - 1).tolist(), strict=True)]
-                parts.append((key[at], np.full(len(at), doc, np.int64), place[at], hot[at]))
+                parts.append((key[at], bucket[at], np.full(len(at), doc, np.int64), place[at], heavy[at]))
                 if len(pieces) >= BATCH_ROWS:
                     yield rows(parts, pieces)
                     parts, pieces = [], []
@@ -235,35 +237,47 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(parts, pieces)
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64()), ("data", pa.binary())])
 
 
 def _sorted_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix-sort contexts, sorted by key, in chunks that end with a key."""
-
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        doc, place = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        strings = [r[2] for r in rows]
-        later = later_windows(strings, doc, place)
-        sizes = np.array([len(s) - WINDOW + 1 for s in strings])
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        at = place[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        gone = np.flatnonzero(later)
-        first = np.append(True, (owner[gone][1:] != owner[gone][:-1]) | (gone[1:] != gone[:-1] + 1))[: len(gone)]
-        a, b = gone[first], gone[np.append(first[1:], True)[: len(gone)]]
-        return _spans(doc[owner[a]], at[a], at[b] + WINDOW)
+    """Suffix-sort contexts, sorted by key and bucket, in chunks that end with a bucket.
+
+    Gives the removed spans, and with key and data what is left of heavy keys' contexts.
+    """
+
+    def stretches(sizes: np.ndarray, flags: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """row, first and end of the runs of flagged windows in each row."""
+        head = np.cumsum(sizes) - sizes
+        edge = np.zeros(len(flags) + 1, bool)
+        edge[head] = True
+        edge = edge[:-1]
+        first = np.flatnonzero(flags & (edge | ~np.append(False, flags[:-1])))
+        last = np.flatnonzero(flags & (np.append(edge[1:], True) | ~np.append(flags[1:], False)))
+        row = np.searchsorted(head, first, side="right") - 1
+        return zip(row.tolist(), (first - head[row]).tolist(), (last - head[row] + 1).tolist(), strict=True)
+
+    def solve(rows: list[tuple[int, int, bool, int, bytes]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[:2])  # a chunk may hold several buckets of a key
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(r[4], len(known)) for r in rows])
+        later = later_windows(list(known), which)
+        sizes = np.array([len(r[4]) - WINDOW + 1 for r in rows])
+        out = [(rows[i][0], rows[i][1] + a, rows[i][1] + b + WINDOW - 1, rows[i][3], None) for i, a, b in stretches(sizes, later)]
+        left = ~later & np.repeat([r[2] for r in rows], sizes)
+        out += [(rows[i][0], rows[i][1] + a, rows[i][1] + b + WINDOW - 1, rows[i][3], rows[i][4][a : b + WINDOW - 1]) for i, a, b in stretches(sizes, left)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_SPANS)], schema=_SPANS)
 
     rows, held, last = [], 0, None
     for batch in batches:
-        for key, doc, place, data in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "place", "data")), strict=True):
-            if rows and last == key and rows[-1][:2] == (doc, place):  # from a repeated row
+        for key, bucket, doc, place, heavy, data in zip(*(batch[c].to_pylist() for c in ("key", "bucket", "doc_id", "place", "heavy", "data")), strict=True):
+            if rows and last == (key, bucket) and rows[-1][:2] == (doc, place):  # from a repeated row
                 continue
-            if held >= CHUNK_BYTES and key != last:
+            if held >= CHUNK_BYTES and (key, bucket) != last:
                 yield solve(rows)
                 rows, held = [], 0
-            rows.append((doc, place, data))
-            held, last = held + len(data), key
+            rows.append((doc, place, heavy, key, data))
+            held, last = held + len(data), (key, bucket)
     if rows:
         yield solve(rows)
 
@@ -290,27 +304,31 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (exclusive; with the tie in the upper bits) of removed bytes; they may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id IS NOT NULL AND octet_length(text) >= {WINDOW}")
-    found = texts.mapInArrow(_context_rows, "key long, ctx long, doc_id long, place long, n int, again boolean")
+    found = texts.mapInArrow(_context_rows, "key long, doc_id long, place long, n int, again boolean")
     # the small sides are written, so that the joins deal out both sides anew and hot keys can be split
-    often = written(found.groupBy("key").agg(F.count("*").alias("many"), F.max("again").alias("again")).where("many > 1 OR again").select("key"), "suffix-keys")
-    repeated = written(found.drop("again").join(often, "key"), "suffix-contexts")
-    places = F.struct("doc_id", "place")
-    firsts = written(repeated.groupBy("key", "ctx").agg(F.min(places).alias("f"), F.max(places).alias("l"), F.first("n").alias("n")), "suffix-firsts")
-    sizes = firsts.groupBy("key").agg(F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long")).alias("size"))
-    hot_keys = written(sizes.where(F.col("size") > HOT_BYTES).select("key", F.lit(True).alias("hot")), "suffix-hot")
-    wanted = firsts.join(hot_keys, "key", "left").select("key", "f.doc_id", "f.place", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "n", "hot")).alias("wanted"))
-    pieces = written(texts.join(lists, "doc_id").mapInArrow(_cut, "key long, doc_id long, place long, hot boolean, data binary"), "suffix-pieces")
-    cold = pieces.where("NOT hot").select("key", "doc_id", "place", "data")
+    size = F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long"))
+    often = found.groupBy("key").agg(F.count("*").alias("many"), F.max("again").alias("again"), F.ceil(size / HOT_BYTES).alias("salts"))
+    often = written(often.where("many > 1 OR again").select("key", "salts"), "suffix-keys")
+    bucket = F.pmod(F.xxhash64("doc_id", "place"), F.col("salts"))
+    wanted = found.join(often, "key").select("doc_id", F.struct("key", bucket.alias("bucket"), "place", "n", (F.col("salts") > 1).alias("heavy")).alias("wanted"))
+    lists = wanted.groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"))
+    pieces = texts.join(lists, "doc_id").mapInArrow(_cut, "key long, bucket long, doc_id long, place long, heavy boolean, data binary")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = cold.repartition(count, "key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_sorted_chunks, "doc_id long, start long, stop long")
-    windows = pieces.where("hot").mapInArrow(_windows, "h1 long, h2 long, doc_id long, place long")
+
+    def sort(pieces: DataFrame) -> DataFrame:
+        dealt = pieces.repartition(count, "key", "bucket").sortWithinPartitions("key", "bucket", "doc_id", "place")
+        return dealt.mapInArrow(_sorted_chunks, "doc_id long, start long, stop long, key long, data binary")
+
+    first = written(sort(pieces), "suffix-sorted")
+    left = first.where("data IS NOT NULL").select("key", "doc_id", F.col("start").alias("place"), "data")
+    sizes = written(left.groupBy("key").agg(F.sum(F.length("data")).alias("size")), "suffix-left")
+    left = left.join(sizes, "key")
+    second = sort(left.where(F.col("size") <= HOT_BYTES).select("key", F.lit(0).cast("long").alias("bucket"), "doc_id", "place", F.lit(False).alias("heavy"), "data"))
+    windows = left.where(F.col("size") > HOT_BYTES).select("doc_id", "place", "data").mapInArrow(_windows, "h1 long, h2 long, doc_id long, place long")
     earliest = written(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("many")).where("many > 1").select("h1", "h2", "f"), "suffix-windows")
-    hot = windows.join(earliest, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("f")).select("doc_id", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
-    copied = firsts.where("f <> l").select("key", "ctx", "f")
-    others = repeated.join(copied, ["key", "ctx"]).where(F.struct("doc_id", "place") > F.col("f"))
-    others = others.select("doc_id", F.col("place").alias("start"), (F.col("place") + F.col("n") + WINDOW - 1).alias("stop"))
-    return cold.unionByName(hot).unionByName(others)
+    third = windows.join(earliest, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("f")).select("doc_id", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
+    spans = ("doc_id", "start", "stop")
+    return first.where("data IS NULL").select(*spans).unionByName(second.select(*spans)).unionByName(third)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

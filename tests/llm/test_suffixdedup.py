@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from canopyspark.llm import suffixdedup as S
 
@@ -51,12 +52,20 @@ def test_against_brute_force(spark):
     assert sum(r[2] for r in got) > 1000
 
 
-def test_hot_keys_have_the_same_result(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_BYTES", 150)
+@pytest.mark.parametrize("hot", [150, 400, 1500])
+def test_hot_keys_have_the_same_result(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_BYTES", hot)  # buckets, a second sort of what they leave, windows by hash
     rows = sample(4, 40)
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_copies_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_BYTES", 3000)
+    text = sample(5, 1)[0][1] + " and then one passage that all of these documents share, word by word, from here to its end"
+    rows = [(i, f"{i} {text}") for i in range(80)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     text = "the quick brown fox jumps over the lazy dog while thirteen wizards quietly mix seven jugs of very old liquor "
     rows = [(1, None), (2, ""), (3, text), (3, text), (4, "ab" * 9000), (5, "a" * 12000), (6, text + "é"), (None, text), (3, "x" + text), (7, "ab" * 60)]
