@@ -214,12 +214,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted contexts of each document."""
 
     def rows(parts: list, pieces: list[bytes]) -> pa.RecordBatch:
-        key, bucket, doc, place, heavy = map(np.concatenate, zip(*parts, strict=True))
-        return pa.RecordBatch.from_pydict({"key": pa.array(key), "bucket": pa.array(bucket), "doc_id": pa.array(doc), "place": pa.array(place), "heavy": pa.array(heavy), "data": pa.array(pieces, pa.binary())})
+        key, bucket, doc, place = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"key": pa.array(key), "bucket": pa.array(bucket), "doc_id": pa.array(doc), "place": pa.array(place), "data": pa.array(pieces, pa.binary())})
 
     for batch in batches:
         ends = batch["wanted"].offsets.to_numpy()
-        key, bucket, place, n, heavy = (c.to_numpy(zero_copy_only=False) for c in batch["wanted"].values.flatten())
+        key, place, about = (c.to_numpy(zero_copy_only=False) for c in batch["wanted"].values.flatten())
+        bucket, n = about // (2 * MAX_RUN), about % (2 * MAX_RUN)
         parts, pieces = [], []
         for i, (doc, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
             data = text.encode()
@@ -229,7 +230,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in np.split(mine, np.arange(BATCH_ROWS, len(mine), BATCH_ROWS)):
                 start = place[at] - tie
                 pieces += [data[a:b] for a, b in zip(start.tolist(), (start + n[at] + WINDOW - 1).tolist(), strict=True)]
-                parts.append((key[at], bucket[at], np.full(len(at), doc, np.int64), place[at], heavy[at]))
+                parts.append((key[at], bucket[at], np.full(len(at), doc, np.int64), place[at]))
                 if len(pieces) >= BATCH_ROWS:
                     yield rows(parts, pieces)
                     parts, pieces = [], []
@@ -237,7 +238,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(parts, pieces)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64()), ("data", pa.binary())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("key", pa.int64()), ("data", pa.binary())])
 
 
 def _sorted_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,20 +264,20 @@ def _sorted_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         which = np.array([known.setdefault(r[4], len(known)) for r in rows])
         later = later_windows(list(known), which)
         sizes = np.array([len(r[4]) - WINDOW + 1 for r in rows])
-        out = [(rows[i][0], rows[i][1] + a, rows[i][1] + b + WINDOW - 1, rows[i][3], None) for i, a, b in stretches(sizes, later)]
+        out = [(rows[i][0], rows[i][1] + a, b - a + WINDOW - 1, None, None) for i, a, b in stretches(sizes, later)]
         left = ~later & np.repeat([r[2] for r in rows], sizes)
-        out += [(rows[i][0], rows[i][1] + a, rows[i][1] + b + WINDOW - 1, rows[i][3], rows[i][4][a : b + WINDOW - 1]) for i, a, b in stretches(sizes, left)]
+        out += [(rows[i][0], rows[i][1] + a, b - a + WINDOW - 1, rows[i][3], rows[i][4][a : b + WINDOW - 1]) for i, a, b in stretches(sizes, left)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_SPANS)], schema=_SPANS)
 
     rows, held, last = [], 0, None
     for batch in batches:
-        for key, bucket, doc, place, heavy, data in zip(*(batch[c].to_pylist() for c in ("key", "bucket", "doc_id", "place", "heavy", "data")), strict=True):
+        for key, bucket, doc, place, data in zip(*(batch[c].to_pylist() for c in ("key", "bucket", "doc_id", "place", "data")), strict=True):
             if rows and last == (key, bucket) and rows[-1][:2] == (doc, place):  # from a repeated row
                 continue
             if held >= CHUNK_BYTES and (key, bucket) != last:
                 yield solve(rows)
                 rows, held = [], 0
-            rows.append((doc, place, heavy, key, data))
+            rows.append((doc, place, bucket > 0, key, data))
             held, last = held + len(data), (key, bucket)
     if rows:
         yield solve(rows)
@@ -302,32 +303,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (exclusive; with the tie in the upper bits) of removed bytes; they may overlap."""
+    """doc_id, start (with the tie in the upper bits) and size of removed bytes; they may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id IS NOT NULL AND octet_length(text) >= {WINDOW}")
     found = texts.mapInArrow(_context_rows, "key long, doc_id long, place long, n int, again boolean")
     # the small sides are written, so that the joins deal out both sides anew and hot keys can be split
     size = F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long"))
-    often = found.groupBy("key").agg(F.count("*").alias("many"), F.max("again").alias("again"), F.ceil(size / HOT_BYTES).alias("salts"))
-    often = written(often.where("many > 1 OR again").select("key", "salts"), "suffix-keys")
+    often = found.groupBy("key").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("weight"), F.ceil(size / HOT_BYTES).alias("salts"))
+    often = written(often.where("weight > 1").select("key", "salts"), "suffix-keys")
     bucket = F.pmod(F.xxhash64("doc_id", "place"), F.col("salts"))
-    wanted = found.join(often, "key").select("doc_id", F.struct("key", bucket.alias("bucket"), "place", "n", (F.col("salts") > 1).alias("heavy")).alias("wanted"))
+    # n, at most MAX_RUN, and the bucket (from 1; 0 of a key with one) in one number
+    wanted = found.join(often, "key").select("doc_id", F.struct("key", "place", (F.when(F.col("salts") > 1, bucket + 1).otherwise(0) * (2 * MAX_RUN) + F.col("n")).alias("about")).alias("wanted"))
     lists = wanted.groupBy("doc_id").agg(F.collect_list("wanted").alias("wanted"))
-    pieces = texts.join(lists, "doc_id").mapInArrow(_cut, "key long, bucket long, doc_id long, place long, heavy boolean, data binary")
+    pieces = texts.join(lists, "doc_id").mapInArrow(_cut, "key long, bucket long, doc_id long, place long, data binary")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sort(pieces: DataFrame) -> DataFrame:
         dealt = pieces.repartition(count, "key", "bucket").sortWithinPartitions("key", "bucket", "doc_id", "place")
-        return dealt.mapInArrow(_sorted_chunks, "doc_id long, start long, stop long, key long, data binary")
+        return dealt.mapInArrow(_sorted_chunks, "doc_id long, start long, size int, key long, data binary")
 
     first = written(sort(pieces), "suffix-sorted")
     left = first.where("data IS NOT NULL").select("key", "doc_id", F.col("start").alias("place"), "data")
     sizes = written(left.groupBy("key").agg(F.sum(F.length("data")).alias("size")), "suffix-left")
     left = left.join(sizes, "key")
-    second = sort(left.where(F.col("size") <= HOT_BYTES).select("key", F.lit(0).cast("long").alias("bucket"), "doc_id", "place", F.lit(False).alias("heavy"), "data"))
+    second = sort(left.where(F.col("size") <= HOT_BYTES).select("key", F.lit(0).cast("long").alias("bucket"), "doc_id", "place", "data"))
     windows = left.where(F.col("size") > HOT_BYTES).select("doc_id", "place", "data").mapInArrow(_windows, "h1 long, h2 long, doc_id long, place long")
     earliest = written(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("many")).where("many > 1").select("h1", "h2", "f"), "suffix-windows")
-    third = windows.join(earliest, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("f")).select("doc_id", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
-    spans = ("doc_id", "start", "stop")
+    third = windows.join(earliest, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("f")).select("doc_id", F.col("place").alias("start"), F.lit(WINDOW).alias("size"))
+    spans = ("doc_id", "start", "size")
     return first.where("data IS NULL").select(*spans).unionByName(second.select(*spans)).unionByName(third)
 
 
@@ -338,7 +340,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (row["text"] or "").encode()
             tie = tie_of(data)
             gone = np.zeros(len(data) + 1, np.int32)
-            mine = np.array([(s["start"] - tie, s["stop"] - tie) for s in row["spans"] or () if s["start"] >> TIE_SHIFT == tie >> TIE_SHIFT], np.int64).reshape(-1, 2)
+            mine = np.array([(s["start"] - tie, s["start"] - tie + s["size"]) for s in row["spans"] or () if s["start"] >> TIE_SHIFT == tie >> TIE_SHIFT], np.int64).reshape(-1, 2)
             np.add.at(gone, mine[:, 0], 1)
             np.add.at(gone, mine[:, 1], -1)
             flags = np.cumsum(gone[:-1]) > 0
@@ -351,7 +353,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and spans (start, stop) of every row of docs."""
-    lists = removed_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lists = removed_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id", "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,stop:long>>")
 
