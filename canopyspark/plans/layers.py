@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from canopyspark.config import CONFIG
 from canopyspark.functions import geo
+from canopyspark.functions.numbers import half_even
 from canopyspark.operators import kernels, rules
 from canopyspark.operators.scratch import written
 from canopyspark.plans.queries import ALERTS, DATES, LABELS, OPENED, PIXELS, PLANTS, _px, alerts_ranked
@@ -213,8 +214,8 @@ def points_evaluate(spark, d):
 @query(HOLED + f", {POINTS} SELECT pid, round_even(avg(v) / 1000, 1) AS mean_db, count(v) AS n FROM pt LEFT JOIN v ON v.r BETWEEN pt.r - 1 AND pt.r + 1 AND v.c BETWEEN pt.c - 1 AND pt.c + 1 WHERE pt.{INSIDE.replace('AND c', 'AND pt.c')} GROUP BY pid")
 def points_mean3(spark, d):
     """Mean of the 3 x 3 pixels around every point, without holes and what lies outside; NULL if nothing is left."""
-    around = kernels.spread(points(spark, d), 1, "pid").join(holed(spark, d), ["r", "c"], "left")
-    return around.groupBy("pid").agg(F.bround(F.avg("v") / 1000, 1).alias("mean_db"), F.count("v").alias("n"))
+    around = kernels.spread(points(spark, d), 1, "pid").hint("merge").join(holed(spark, d), ["r", "c"], "left")
+    return around.groupBy("pid").agg(half_even(F.avg("v") / 1000, 1).alias("mean_db"), F.count("v").alias("n"))
 
 
 @query(f"WITH {PLANTS}, t AS (SELECT k, r, c, mdb FROM sc WHERE k < 3 AND c BETWEEN k * 80 AND k * 80 + 119 AND (r + c) % 5 <> k) SELECT r, c, arg_min(mdb, k) AS mdb, min(k) AS tile FROM t GROUP BY r, c")
