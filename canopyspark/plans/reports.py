@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopyspark.config import CONFIG
 from canopyspark.functions import geo
 from canopyspark.functions.text import QUOTES, XML, csv_field, escaped, number_or_null
+from canopyspark.operators.nearest import nearest
 from canopyspark.operators.scratch import written
 from canopyspark.plans.layers import INSIDE, POINTS, points
 from canopyspark.plans.queries import ALERTS, CRACK, LABELS, PIXELS, PLANTS, _px, alerts_ranked, crackdown_table
@@ -227,17 +228,9 @@ _AT = "c_custkey AS id, c_custkey * 7919 % 10007 * 10 AS x, c_custkey * 104729 %
 
 @query(f"WITH a AS (SELECT {_AT} FROM customer) SELECT a.id, b.id AS other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 3) AS metres, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id)::INT AS place FROM a JOIN a b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25000000 QUALIFY place <= 3")
 def nearby5(spark, d):
-    """The three nearest other places within 5 km, by a join on 5 km cells and their neighbours."""
-    reach = 5000
+    """The three nearest other places within 5 km, by cells that grow as they need."""
     a = spark.read.parquet(f"{d}/customer.parquet").selectExpr(*_AT.split(", "))
-    cell = [F.floor(F.col(c) / reach).alias(f"c{c}") for c in "xy"]
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = a.select("*", *cell).select("id", "x", "y", "cx", "cy", near.alias("o")).select("id", "x", "y", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    right = a.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), *cell)
-    gap = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
-    met = left.join(right, ["cx", "cy"]).where(F.col("id") != F.col("other")).select("id", "other", gap.alias("d2")).where(F.col("d2") <= reach * reach)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
-    return met.select("id", "other", F.round(F.sqrt("d2"), 3).alias("metres"), place.alias("place")).where("place <= 3")
+    return nearest(a, 3, 5000).select("id", "other", F.round(F.sqrt("d2"), 3).alias("metres"), "place")
 
 
 _CARD = "CASE WHEN before <> 0 THEN concat(CAST(CAST(round((after - before) * 100.0 / before) AS INT) AS {text}), '%') END AS change, CASE WHEN after < before THEN 'fell' WHEN after > before THEN 'rose' ELSE 'stayed level' END AS word, CASE WHEN after > 1.1 * before THEN 'up' WHEN after < 0.9 * before THEN 'down' ELSE 'steady' END AS trend, CAST(ceil(top / power(10, floor(log10(top)))) * power(10, floor(log10(top))) AS BIGINT) AS axis, low_year"
