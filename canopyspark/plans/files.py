@@ -44,7 +44,7 @@ def geotiff_scene(spark, d):
 @query(LABELS + ", grid AS (SELECT i // 256 AS r, i % 256 AS c FROM (SELECT unnest(range(height * 256)) AS i FROM ht) t) SELECT r, c, coalesce(year, 0) AS year FROM grid LEFT JOIN lb USING (r, c)")
 def geotiff_labels(spark, d):
     """The layer of label years through GeoTIFF files of integers: no label is 0."""
-    grid = scene(spark, d).select("r", "c").join(labels(spark, d), ["r", "c"], "left")
+    grid = scene(spark, d).select("r", "c").join(labels(spark, d).hint("merge"), ["r", "c"], "left")
     encoded = written(geotiff.layer_files(grid.withColumnRenamed("year", "v"), "amw_year", "int16"), "layer-files")
     return geotiff.file_pixels(encoded).select("r", "c", F.col("v").cast("int").alias("year"))
 

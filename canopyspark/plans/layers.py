@@ -139,7 +139,7 @@ SQUARED = LABELS + f", grid AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c FROM (S
 
 
 def label_distance(spark, d) -> DataFrame:
-    grid = scene(spark, d).select("r", "c").join(labels(spark, d), ["r", "c"], "left")
+    grid = scene(spark, d).select("r", "c").join(labels(spark, d).hint("merge"), ["r", "c"], "left")
     return kernels.squared_distance(grid.select("r", "c", F.col("year").isNotNull().alias("seed")), "seed")
 
 
@@ -155,7 +155,7 @@ CLASSED = PIXELS + ", " + SQUARED.partition("), lb AS")[2].join(["lb AS", ""]) +
 
 def classed(spark, d) -> DataFrame:
     """The pixel table with year, d2 and mining: 1 labelled, 0 far enough from labels to be a negative, else NULL."""
-    px = _px(spark, d).join(label_distance(spark, d), ["r", "c"]).join(labels(spark, d), ["r", "c"], "left")
+    px = _px(spark, d).join(label_distance(spark, d), ["r", "c"]).join(labels(spark, d).hint("merge"), ["r", "c"], "left")
     return written(px.withColumn("mining", F.expr(_CLASSES)), "classed")
 
 
@@ -186,14 +186,14 @@ def balanced_sample(spark, d):
 @query(f"WITH {PLANTS}, {POINTS} SELECT pid, pt.r, pt.c, mining, mdb FROM pt JOIN sc ON sc.r = pt.r AND sc.c = pt.c AND k = 5")
 def points_sample(spark, d):
     """The scene's value at every point; points outside the grid are dropped."""
-    return points(spark, d).join(scene(spark, d), ["r", "c"]).select("pid", "r", "c", "mining", "mdb")
+    return points(spark, d).hint("merge").join(scene(spark, d), ["r", "c"]).select("pid", "r", "c", "mining", "mdb")
 
 
 def near_points(spark, d) -> DataFrame:
     """The points inside the grid, with near: whether anything was detected within 5 pixels."""
     pt = points(spark, d)
-    hit = kernels.spread(pt, 5, "pid").join(_px(spark, d).where("conf > 0").select("r", "c"), ["r", "c"], "left_semi").select("pid").distinct()
-    return pt.join(hit.withColumn("near", F.lit(True)), "pid", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    hit = kernels.spread(pt, 5, "pid").hint("merge").join(_px(spark, d).where("conf > 0").select("r", "c"), ["r", "c"], "left_semi").select("pid").distinct()
+    return pt.join(hit.withColumn("near", F.lit(True)).hint("merge"), "pid", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
 NEAR = PIXELS + f", {POINTS}, np AS (SELECT *, EXISTS (SELECT 1 FROM cf WHERE conf > 0 AND cf.r BETWEEN pt.r - 5 AND pt.r + 5 AND cf.c BETWEEN pt.c - 5 AND pt.c + 5) AS near FROM pt WHERE {INSIDE})"

@@ -111,7 +111,7 @@ COMPARED = DETECTED + f", mc AS (SELECT detector, count_if(f AND year > 0) / nul
 
 def detected(spark, d):
     """r, c, year (0 where unlabelled), detector, f: whether it fired."""
-    px = _px(spark, d).join(labels(spark, d), ["r", "c"], "left")
+    px = _px(spark, d).join(labels(spark, d).hint("merge"), ["r", "c"], "left")
     rule, model = F.col("change_idx").isNotNull(), F.col("first") - F.col("min_later") >= 2500
     each = [F.struct(F.lit(n).alias("detector"), f.alias("f")) for n, f in (("rule", rule), ("model", model), ("combined", rule | model), ("both", rule & model))]
     return px.select("r", "c", F.coalesce("year", F.lit(0)).alias("year"), F.explode(F.array(*each)).alias("s")).select("r", "c", "year", "s.*")
@@ -210,7 +210,7 @@ _DAYS = ", ".join(f"('{x}')" for x in CONFIG.dates)
 @query(f"WITH {PLANTS}, {POINTS}, s AS (SELECT pid, k, CASE WHEN (pid + k) % 4 <> 0 THEN mdb END AS v FROM pt JOIN sc ON sc.r = pt.r AND sc.c = pt.c), b AS (SELECT pid, arg_min(v, k) FILTER (v IS NOT NULL) AS base FROM s GROUP BY pid), dt AS (SELECT (row_number() OVER ())::INT - 1 AS k, d FROM (VALUES {_DAYS}) t(d)) SELECT s.pid, max(base) AS base, count_if(v <= base - 3000)::BIGINT AS n_hits, min(s.k) FILTER (v <= base - 3000) AS first_hit, min(s.k) FILTER (v < -18000) AS dark, max(v) FILTER (s.k = 1) AS before, max(v) FILTER (s.k = 5) AS after, max(v) FILTER (s.k = 5) - max(v) FILTER (s.k = 1) AS change, coalesce(min(s.k) FILTER (dt.d >= strftime(DATE '2018-12-01' + (s.pid % 500)::INT, '%Y-%m-%d')), 5) AS scene_of FROM s JOIN b ON b.pid = s.pid JOIN dt ON dt.k = s.k GROUP BY s.pid")
 def point_series(spark, d):
     """A point's series over the scenes: base (first value), hits 3 dB below it, dark scene, change, and the scene of a date."""
-    s = points(spark, d).join(scenes(spark, d), ["r", "c"])
+    s = points(spark, d).hint("merge").join(scenes(spark, d), ["r", "c"])
     s = s.select("pid", "k", F.when((F.col("pid") + F.col("k")) % 4 != 0, F.col("mdb")).alias("v"))
     s = s.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("series"))
     base = F.get(F.filter("series", lambda v: v.isNotNull()), F.lit(0))
