@@ -9,7 +9,8 @@ distances and the triangle inequality rule out children and vectors before their
 computed. Distances only prune, with slack for rounding; scores are exact whole numbers, kept within
 the range of a long where squared norms reach 2 ** 62.
 
-The query set is cut into blocks; each block meets each tree once. Every tree gives a query k
+The query set is cut into blocks; each block meets each tree once, in a product of partitions that
+neither shuffles nor broadcasts the copies of either. Every tree gives a query k
 candidates at most, and a short window per query merges them.
 
 Defined results: a vector that is null, or holds a null or a component that is not finite, takes no
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import table
+from canopyspark.llm.common import table, written
 
 SCALE = 1024
 TOP = 10
@@ -217,7 +218,8 @@ def top_inner_products(vectors: DataFrame, id_col: str, vector_col: str, is_quer
     built = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(build, "part int, tree binary")
     asked = valid.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
     grouped = asked.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    pairs = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(built, "part")
+    # all pairs, by partitions read from the shared folder: a join on a key would send every block once for each tree, or broadcast them
+    pairs = written(built.select("tree"), "trees").hint("shuffle_replicate_nl").crossJoin(written(grouped.select("asked"), "questions"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,3 +44,9 @@ def test_large_values_and_clashing_names(spark):
     assert sorted(map(tuple, top_inner_products(frame, "vec_id", "embedding", lambda i: i % 7 == 0).collect())) == brute(rows)
     huge = run(spark, [(0, [3e38]), (1, [3e38]), (2, [-3e38]), (3, [1.0])])
     assert [(r[2], r[3]) for r in huge] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
+def test_blocks_and_trees_meet_without_a_broadcast(spark):
+    frame = spark.range(40).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), 1F) AS embedding")
+    text = top_inner_products(frame, "vec_id", "embedding", lambda i: i % 7 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in text and "Broadcast" not in text
