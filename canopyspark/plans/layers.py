@@ -103,7 +103,7 @@ def lee_filter(spark, d):
     ci2 = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)) / (mean * mean)
     looks = 4
     weight = F.when(ci2 > 0, F.least(F.greatest((ci2 - 1 / looks) / (ci2 * (1 + 1 / looks)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return sums.join(v, ["r", "c"]).select("r", "c", F.round(mean + weight * (F.col("v") + 30000 - mean), 4).alias("value"))
+    return sums.join(v.hint("merge"), ["r", "c"]).select("r", "c", F.round(mean + weight * (F.col("v") + 30000 - mean), 4).alias("value"))
 
 
 @query(HOLED + f", w AS (SELECT r, c, x AS s1, x * x AS s2 FROM (SELECT r, c, coalesce(v::DOUBLE, (SELECT avg(v) FROM v)) AS x FROM v) t), {_box_sql('s1, s2')} SELECT r, c, round(sqrt(greatest(s2 / 25 - (s1 / 25) * (s1 / 25), 0)), 2) AS texture FROM s")
@@ -155,7 +155,7 @@ CLASSED = PIXELS + ", " + SQUARED.partition("), lb AS")[2].join(["lb AS", ""]) +
 
 def classed(spark, d) -> DataFrame:
     """The pixel table with year, d2 and mining: 1 labelled, 0 far enough from labels to be a negative, else NULL."""
-    px = _px(spark, d).join(label_distance(spark, d), ["r", "c"]).join(labels(spark, d).hint("merge"), ["r", "c"], "left")
+    px = _px(spark, d).join(label_distance(spark, d).hint("merge"), ["r", "c"]).join(labels(spark, d).hint("merge"), ["r", "c"], "left")
     return written(px.withColumn("mining", F.expr(_CLASSES)), "classed")
 
 

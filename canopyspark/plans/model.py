@@ -28,7 +28,7 @@ def embedding_components(spark, d, k: int = COMPONENTS) -> DataFrame:
 
 def features(spark, d, block: int = forest.BLOCK) -> DataFrame:
     """The pixel table with its classes, blocks, and all features; a tile of TILE x TILE pixels takes the components of its own embedding."""
-    px = classed(spark, d).join(texture_std(spark, d), ["r", "c"])
+    px = classed(spark, d).join(texture_std(spark, d).hint("merge"), ["r", "c"])
     tile = F.floor(F.col("r") / TILE) * (SIDE // TILE) + F.floor(F.col("c") / TILE)
     px = px.withColumns({
         "diff": F.col("first") - F.col("last"),

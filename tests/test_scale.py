@@ -2,6 +2,7 @@
 
 import pytest
 
+from canopyspark.operators import rules
 from canopyspark.plans import layers, queries
 from canopyspark.sources import synthetic
 
@@ -28,3 +29,9 @@ def test_labels_are_spread_before_they_are_exploded(spark, suppliers):
     n = synthetic.height(spark, suppliers) // 256
     assert synthetic._tasks(n) == n and synthetic._tasks(12858) == 1607
     assert "hashpartitioning(r0#" in plan(synthetic.labels(spark, suppliers)) and "REPARTITION_BY_NUM" in plan(synthetic.labels(spark, suppliers))
+
+
+def test_patches_are_not_broadcast(spark, suppliers):
+    cells = spark.range(400).selectExpr("id DIV 20 AS r", "id % 20 AS c")
+    for df in (rules.patches(cells), queries.patch_stats(spark, suppliers)):
+        assert "BroadcastHashJoin" not in plan(df) and "BroadcastExchange" not in plan(df)
