@@ -95,3 +95,20 @@ def test_stage_tells_rows_of_one_id_apart(spark):
 @pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 11, 100])
 def test_prefix_length(n):
     assert jaccard.prefix_length(n) == n - -(-8 * n // 10) + 1
+
+
+def test_later_rounds_take_the_sets_of_open_lists_only(spark, monkeypatch):
+    pieces = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(8)]
+    rows = [(i, f"{pieces[i]} {pieces[(i + 1) % 8]}") for i in range(8)]  # alike in parts, linked with nothing
+    copies = " ".join(f"w{j}" for j in range(40))
+    rows += [(100 + i, f"{copies} end{i // 2}") for i in range(6)]
+    seen, own = [], jaccard._overlaps
+
+    def noted(pairs, sets):
+        seen.append(sets.count())
+        return own(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_overlaps", noted)
+    found = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i for i in range(8)} | {100 + i: 100 for i in range(6)}
+    assert len(seen) > 1 and seen[1] < seen[0]
