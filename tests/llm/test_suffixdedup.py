@@ -105,3 +105,17 @@ def test_suffix_order_of_some_suffixes():
     assert sorted(order.tolist()) == np.flatnonzero(starts).tolist()
     heads = [bytes(text[i : i + S.WINDOW]) for i in order]
     assert heads == sorted(heads)
+
+
+def test_rows_dealt_by_key_are_done_before_the_pieces_are_sorted(spark, monkeypatch):
+    plans, own = {}, S.written
+
+    def noted(df, prefix):
+        plans[prefix] = df._jdf.queryExecution().executedPlan().toString()
+        return own(df, prefix)
+
+    monkeypatch.setattr(S, "written", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    found = S.dedup_substrings(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: len(text)}
+    assert "_context_rows" not in plans["suffix-sorted"]
