@@ -199,9 +199,12 @@ def helper_layers(spark, d):
     px = scenes(spark, d).where("k = 0")
     kept = F.create_map(F.lit("slope"), F.when(F.col("c") % 11 > 0, (F.col("r") % 30).cast("double")).otherwise(F.lit(float("nan"))), F.lit("worldcover"), F.when(F.col("c") < 200, 10.0).otherwise(60.0))
     rows = px.select(F.explode(kept).alias("name", "v"))
-    found = values(spark, _LAYERS, "name string").join(rows, "name", "left").groupBy("name")
     clean = F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0))
-    return found.agg((F.count("v") > 0).alias("present"), F.sum(clean).alias("total"), F.count_if((F.col("name") == "worldcover") & (F.col("v") == 10)).alias("forest_px"), F.coalesce(F.bool_or(clean > 0), F.lit(False)).alias("any_positive"))
+    # two names hold all pixels: each task adds up its own, and only the sums meet the names
+    sums = rows.groupBy("name").agg(F.count("v").alias("n"), F.sum(clean).alias("total"), F.count_if(F.col("v") == 10).alias("ten"), F.bool_or(clean > 0).alias("positive"))
+    met = values(spark, _LAYERS, "name string").join(sums, "name", "left")
+    forest = F.when(F.col("name") == "worldcover", F.coalesce("ten", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return met.select("name", F.coalesce(F.col("n") > 0, F.lit(False)).alias("present"), F.coalesce("total", F.lit(0.0)).alias("total"), forest.alias("forest_px"), F.coalesce("positive", F.lit(False)).alias("any_positive"))
 
 
 _DAYS = ", ".join(f"('{x}')" for x in CONFIG.dates)

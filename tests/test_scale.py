@@ -3,7 +3,7 @@
 import pytest
 
 from canopyspark.operators import rules
-from canopyspark.plans import layers, queries
+from canopyspark.plans import layers, queries, reports
 from canopyspark.sources import synthetic
 
 
@@ -50,3 +50,12 @@ def test_label_cells_are_grouped_where_they_are_made(spark, suppliers):
     text = plan(synthetic.labels(spark, suppliers))
     cells = text[: text.index("explode(sequence((c0#")]
     assert "HashAggregate(keys=[r#" in cells and "Exchange" not in cells  # no cell is shuffled
+
+
+def test_layers_are_added_up_before_they_meet_their_names(spark, suppliers):
+    found = reports.helper_layers(spark, suppliers)
+    text = plan(found)
+    assert "HashAggregate(keys=[name" in text[text.index("Join") :]  # two names hold all pixels
+    rows = {r.name: (r.present, r.total, r.forest_px, r.any_positive) for r in found.collect()}
+    assert rows["buffer"] == rows["dist_road"] == (False, 0.0, 0, False)
+    assert rows["worldcover"] == (True, 768 * (200 * 10.0 + 56 * 60.0), 768 * 200, True) and rows["slope"][0] and rows["slope"][2:] == (0, True)
