@@ -15,7 +15,7 @@ from canopyspark.functions.numbers import half_even
 from canopyspark.operators import kernels, rules
 from canopyspark.operators.scratch import written
 from canopyspark.plans.queries import ALERTS, DATES, LABELS, OPENED, PIXELS, PLANTS, _px, alerts_ranked
-from canopyspark.sources.synthetic import height, labels, scenes
+from canopyspark.sources.synthetic import banded_scene, height, labels, scenes, stack
 
 SIDE = CONFIG.side
 QUERIES, ORACLES = {}, {}
@@ -109,11 +109,14 @@ def lee_filter(spark, d):
 @query(HOLED + f", w AS (SELECT r, c, x AS s1, x * x AS s2 FROM (SELECT r, c, coalesce(v::DOUBLE, (SELECT avg(v) FROM v)) AS x FROM v) t), {_box_sql('s1, s2')} SELECT r, c, round(sqrt(greatest(s2 / 25 - (s1 / 25) * (s1 / 25), 0)), 2) AS texture FROM s")
 def texture_std(spark, d):
     """Standard deviation in 5 x 5 windows; holes count as the scene's mean."""
-    v = holed(spark, d)
-    mean = v.agg(F.avg("v").alias("m")).first()["m"]
-    x = F.coalesce(F.col("v").cast("double"), F.lit(mean))
-    sums = kernels.box_sums(v.select("r", "c", x.alias("s1"), (x * x).alias("s2")), 2, height(spark, d), "s1", "s2")
-    return sums.select("r", "c", F.round(F.sqrt(F.greatest(F.col("s2") / 25 - (F.col("s1") / 25) * (F.col("s1") / 25), F.lit(0.0))), 2).alias("texture"))
+    return texture_by_row(spark, d).select("r", F.posexplode("texture").alias("c", "texture")).select("r", F.col("c").cast("long").alias("c"), F.round("texture", 2).alias("texture"))
+
+
+def texture_by_row(spark, d) -> DataFrame:
+    """(r, texture): the same before rounding, an array for every row."""
+    mean = holed(spark, d).agg(F.avg("v").alias("m")).first()["m"]
+    banded = banded_scene(spark, d, 5, kernels.BAND, 2).select("band", "r", "c", F.expr(f"CASE WHEN NOT ({HOLES}) THEN mdb END AS v"))
+    return kernels.texture_rows(banded, 2, height(spark, d), SIDE, mean)
 
 
 @query(PIXELS + f", o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d), wide AS (SELECT DISTINCT r + a.d AS r, c + b.d AS c FROM cf, o a, o b WHERE conf > 0 AND r + a.d BETWEEN 0 AND (SELECT height - 1 FROM ht) AND c + b.d BETWEEN 0 AND {SIDE - 1}) SELECT r + a.d AS r, c + b.d AS c FROM wide, o a, o b WHERE r + a.d BETWEEN 0 AND (SELECT height - 1 FROM ht) AND c + b.d BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2 HAVING count(*) = 25")
@@ -138,25 +141,29 @@ def downsample(spark, d):
 SQUARED = LABELS + f", grid AS (SELECT i // {SIDE} AS r, i % {SIDE} AS c FROM (SELECT unnest(range(height * {SIDE})) AS i FROM ht) t), col AS (SELECT g.r, g.c, min(abs(g.r - lb.r)) AS g FROM grid g JOIN lb ON lb.c = g.c GROUP BY 1, 2), edt AS (SELECT a.r, a.c, min((a.c - b.c) * (a.c - b.c) + b.g * b.g)::BIGINT AS d2 FROM grid a JOIN col b ON a.r = b.r GROUP BY 1, 2)"
 
 
-def label_distance(spark, d) -> DataFrame:
-    grid = scene(spark, d).select("r", "c").join(labels(spark, d).hint("merge"), ["r", "c"], "left")
-    return kernels.squared_distance(grid.select("r", "c", F.col("year").isNotNull().alias("seed")), "seed")
+def label_rows(spark, d) -> DataFrame:
+    """(r, d2, year): squared distance to the nearest labelled pixel, and the label, an array by column for every row."""
+    return kernels.distance_rows(labels(spark, d), height(spark, d), SIDE, "year")
 
 
 @query(SQUARED + " SELECT r, c, d2 FROM edt")
 def edt_distance(spark, d):
     """Exact squared distance, in pixels, to the nearest labelled pixel."""
-    return label_distance(spark, d)
+    return label_rows(spark, d).select("r", F.posexplode("d2").alias("c", "d2")).select("r", F.col("c").cast("long").alias("c"), "d2")
 
 
 _CLASSES = "CASE WHEN year IS NOT NULL THEN 1 WHEN (first > -11000 AND first - min_later < 3000) AND d2 > 25 OR change_idx IS NOT NULL AND d2 > 10000 THEN 0 END"
 CLASSED = PIXELS + ", " + SQUARED.partition("), lb AS")[2].join(["lb AS", ""]) + f", kl AS (SELECT px.*, year, d2, {_CLASSES} AS mining FROM px JOIN edt USING (r, c) LEFT JOIN lb USING (r, c))"
 
 
+def classes(spark, d, *beside: DataFrame) -> DataFrame:
+    """The pixel table with year, d2 and mining: 1 labelled, 0 far enough from labels to be a negative, else NULL; and the columns of tables beside it. Made from rows: no pixel is shuffled."""
+    px = rules.confidence(rules.of_stack(stack(spark, d, label_rows(spark, d), *beside)))
+    return px.withColumn("year", F.col("year").cast("int")).withColumn("mining", F.expr(_CLASSES))
+
+
 def classed(spark, d) -> DataFrame:
-    """The pixel table with year, d2 and mining: 1 labelled, 0 far enough from labels to be a negative, else NULL."""
-    px = _px(spark, d).join(label_distance(spark, d).hint("merge"), ["r", "c"]).join(labels(spark, d).hint("merge"), ["r", "c"], "left")
-    return written(px.withColumn("mining", F.expr(_CLASSES)), "classed")
+    return written(classes(spark, d), "classed")
 
 
 @query(CLASSED + " SELECT r // 32 * 8 + c // 32 AS block, count_if(mining = 1)::BIGINT AS positives, count_if(mining = 0)::BIGINT AS negatives, count_if(mining IS NULL)::BIGINT AS neither FROM kl GROUP BY 1")

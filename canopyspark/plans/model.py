@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from canopyspark.config import CONFIG
 from canopyspark.operators import forest, rules
 from canopyspark.operators.scratch import written
-from canopyspark.plans.layers import classed, texture_std
+from canopyspark.plans.layers import classes, texture_by_row
+from canopyspark.sources.synthetic import height
 
 SIDE, TILE, COMPONENTS = CONFIG.side, 64, 4
 RADAR = ["first", "last", "diff", "min_later", "texture", "slope", "worldcover"]
@@ -28,16 +29,18 @@ def embedding_components(spark, d, k: int = COMPONENTS) -> DataFrame:
 
 def features(spark, d, block: int = forest.BLOCK) -> DataFrame:
     """The pixel table with its classes, blocks, and all features; a tile of TILE x TILE pixels takes the components of its own embedding."""
-    px = classed(spark, d).join(texture_std(spark, d).hint("merge"), ["r", "c"])
+    px = classes(spark, d, texture_by_row(spark, d)).drop("conf")
+    tiles = -(-height(spark, d) // TILE) * (SIDE // TILE)
     tile = F.floor(F.col("r") / TILE) * (SIDE // TILE) + F.floor(F.col("c") / TILE)
-    px = px.withColumns({
+    px = px.withColumns({"texture": F.round("texture", 2), "vec_id": tile})
+    components = written(embedding_components(spark, d).where(F.col("vec_id").between(0, tiles - 1)), "components")
+    px = written(px.join(components, "vec_id", "left").fillna(0.0, EMBEDDED).drop("vec_id"), "features")
+    derived = {
         "diff": F.col("first") - F.col("last"),
         "slope": (F.col("r") * 7 + F.col("c") * 13) % 30,  # layers that no label depends on
         "worldcover": F.when((F.col("r") + F.col("c")) % 11 == 0, 80).otherwise(10),
-        "vec_id": tile,
-    })
-    px = px.join(embedding_components(spark, d), "vec_id", "left").fillna(0.0, EMBEDDED)
-    return written(forest.with_block(px.drop("vec_id"), SIDE, block), "features")
+    }
+    return forest.with_block(px.withColumns(derived), SIDE, block)
 
 
 VARIANTS = {"radar features": RADAR, "radar + embeddings": RADAR + EMBEDDED}
@@ -68,7 +71,8 @@ def confidence_model(spark, d, block=forest.BLOCK):
     """Rule and model together, where either fired: the model counts where the radar changed a little or sees water now."""
     px = features(spark, d, block)
     best, forests, _, _ = forest.selected(px, VARIANTS)
-    found = forests[best].probability(px)
+    open_gate = rules.model_gate(F.lit(True), F.col("first"), F.col("last"))
+    found = forests[best].probability(px.where(F.col("change_idx").isNotNull() | open_gate))  # elsewhere neither can fire
     fired = F.coalesce(F.col("p") >= forest.FIRES, F.lit(False))
     gated = rules.model_gate(fired, F.col("first"), F.col("last"))
     conf = F.col("change_idx").isNotNull().cast("int") + gated.cast("int")

@@ -87,3 +87,35 @@ def test_the_detector_on_the_small_raster(spark):
     assert max(r.f1 for r in rows.values()) > 0.6
     conf = model.confidence_model(spark, str(DATA), 40)
     assert {r.conf for r in conf.select("conf").distinct().collect()} <= {1, 2} and conf.count() > 1000
+
+
+def test_probabilities_are_those_of_the_model(spark, px):
+    from pyspark.ml.functions import vector_to_array
+
+    made = forest.fitted(px, ["a", "noise", "b"], forest.held_out_blocks(px), trees=30)
+    rows = forest._assembled(px, made.features, "keep")
+    own = {(r.r, r.c): r.p for r in made.model.transform(rows).select("r", "c", vector_to_array("probability")[1].alias("p")).collect()}
+    scored = made.probability(px)
+    assert {(r.r, r.c): r.p for r in scored.collect()} == own and len(set(own.values())) > 100
+    text = scored.where("p > 0.5").select("r", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "transform" not in text and text.count("ArrowEvalPython") == 1  # a batch at once, and once
+
+
+def test_a_sample_sorts_few_rows(spark, monkeypatch):
+    sizes, own = {}, forest.written
+
+    def noted(df, prefix):
+        found = own(df, prefix)
+        sizes[prefix] = found.count()
+        return found
+
+    monkeypatch.setattr(forest, "written", noted)
+    rows = spark.range(40_000).selectExpr("id DIV 100 AS r", "id % 100 AS c", "CAST(id % 4 = 0 AS INT) AS mining")
+    order = forest.F.xxhash64("r", "c", forest.F.lit(forest.SEED))
+    for cap in (500, 50_000):
+        size = min(cap, 10_000)
+        wanted = {(r.r, r.c) for m in (0, 1) for r in rows.where(rows.mining == m).orderBy(order, "r", "c").limit(size).collect()}
+        assert {(r.r, r.c) for r in forest.balanced(rows, cap).collect()} == wanted
+        assert 2 * size <= sizes["sample-candidates"] < 2.5 * size + 400
+    monkeypatch.setattr(forest, "_bound", lambda size, there: -(2**63))  # too few below it: all rows are sorted
+    assert forest.balanced(rows, 500).count() == 1000
