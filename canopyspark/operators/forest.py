@@ -19,7 +19,7 @@ BLOCK, TEST_SHARE, MAX_SAMPLES, TREES, LEAF, FIRES = 200, 0.25, 50_000, 200, 5,
 DEPTH = 5
 SEED = 0
 #: Parts of a training sample, rows that are scored at once.
-PARTS, ROWS = 16, 512
+PARTS, ROWS = 16, 256
 
 
 def with_block(px: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
@@ -120,20 +120,18 @@ def shares_of(nodes: Nodes, columns: list[np.ndarray]) -> np.ndarray:
     """The share of the second class, on the mean over the trees, of rows given by columns without gaps."""
     n, (_, trees, leaves) = len(columns[0]), nodes.shares.shape
     out = np.empty(n)
-    first = np.arange(trees, dtype=np.int32) * leaves
+    first = (np.arange(trees) * leaves)[:, None]
     places = [np.searchsorted(values, column, side="left") for values, column in zip(nodes.thresholds, columns, strict=True)]
-    used = [f for f, values in enumerate(nodes.thresholds) if len(values)]
-    flat = nodes.shares.reshape(2, -1)
+    both = (nodes.shares[0] + 1j * nodes.shares[1]).reshape(-1)  # one look-up and one sum for both classes
     for k in range(0, n, ROWS):
         part = slice(k, k + ROWS)
-        left = np.full((len(out[part]), trees), (1 << leaves) - 1, nodes.open[0].dtype)
-        for f in used:
-            left &= nodes.open[f][places[f][part]]
-        left &= ~left + left.dtype.type(1)  # its lowest bit, a power of two
-        leaf = (np.frexp(left.astype(np.float32))[1] - 1).astype(np.int32) + first
-        # one tree after the other, as a sum over the trees in their order
-        votes = [np.cumsum(side[leaf], axis=1)[:, -1] for side in flat]
-        out[part] = votes[1] / (votes[0] + votes[1])
+        left = nodes.open[0].take(places[0][part], axis=0)
+        for table, place in zip(nodes.open[1:], places[1:], strict=True):
+            left &= table.take(place[part], axis=0)
+        left &= ~left + left.dtype.type(1)  # its lowest bit, a power of two, whose exponent is the leaf
+        leaf = (left.astype(np.float32).view(np.int32) >> 23) - 127
+        votes = np.add.reduce(both.take(leaf.T + first, mode="clip"), axis=0)  # one tree after the other
+        out[part] = votes.imag / (votes.real + votes.imag)
     return out
 
 
