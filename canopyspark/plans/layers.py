@@ -109,11 +109,11 @@ def lee_filter(spark, d):
 @query(HOLED + f", w AS (SELECT r, c, x AS s1, x * x AS s2 FROM (SELECT r, c, coalesce(v::DOUBLE, (SELECT avg(v) FROM v)) AS x FROM v) t), {_box_sql('s1, s2')} SELECT r, c, round(sqrt(greatest(s2 / 25 - (s1 / 25) * (s1 / 25), 0)), 2) AS texture FROM s")
 def texture_std(spark, d):
     """Standard deviation in 5 x 5 windows; holes count as the scene's mean."""
-    return texture_by_row(spark, d).select("r", F.posexplode("texture").alias("c", "texture")).select("r", F.col("c").cast("long").alias("c"), F.round("texture", 2).alias("texture"))
+    return texture_by_row(spark, d).select("r", F.posexplode("texture").alias("c", "texture")).select("r", F.col("c").cast("long").alias("c"), (F.col("texture") / 100).alias("texture"))
 
 
 def texture_by_row(spark, d) -> DataFrame:
-    """(r, texture): the same before rounding, an array for every row."""
+    """(r, texture): the same in hundredths, an array for every row."""
     mean = holed(spark, d).agg(F.avg("v").alias("m")).first()["m"]
     banded = banded_scene(spark, d, 5, kernels.BAND, 2).select("band", "r", "c", F.expr(f"CASE WHEN NOT ({HOLES}) THEN mdb END AS v"))
     return kernels.texture_rows(banded, 2, height(spark, d), SIDE, mean)

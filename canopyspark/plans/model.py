@@ -32,10 +32,11 @@ def features(spark, d, block: int = forest.BLOCK) -> DataFrame:
     px = classes(spark, d, texture_by_row(spark, d)).drop("conf")
     tiles = -(-height(spark, d) // TILE) * (SIDE // TILE)
     tile = F.floor(F.col("r") / TILE) * (SIDE // TILE) + F.floor(F.col("c") / TILE)
-    px = px.withColumns({"texture": F.round("texture", 2), "vec_id": tile})
+    px = px.withColumn("vec_id", tile)
     components = written(embedding_components(spark, d).where(F.col("vec_id").between(0, tiles - 1)), "components")
     px = written(px.join(components, "vec_id", "left").fillna(0.0, EMBEDDED).drop("vec_id"), "features")
     derived = {
+        "texture": F.col("texture") / 100,
         "diff": F.col("first") - F.col("last"),
         "slope": (F.col("r") * 7 + F.col("c") * 13) % 30,  # layers that no label depends on
         "worldcover": F.when((F.col("r") + F.col("c")) % 11 == 0, 80).otherwise(10),
